@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from trackwork import fixed_values as fv
 from trackwork.catalog.standins import EVENT_POLLUTANTS, STATES, TRAIN_TYPES, ZONES
 
@@ -194,12 +196,12 @@ CTES = {
         SELECT source, source_title, page,
                CASE WHEN len(regexp_extract_all(body, '(?m)^\s*(\d{1,4}[A-Z]?)[\.\s]', 1)) > 0
                     THEN regexp_extract_all(body, '(?m)^\s*(\d{1,4}[A-Z]?)[\.\s]', 1)[1] END AS section,
-               body, unnest(range(0, length(body), 450)) AS at
+               body, unnest(range(0, length(body), 450)) AS pos
         FROM pages_read WHERE length(body) >= 30""",
     "chunked": """
-        SELECT source, source_title, page, section, source || '_p' || page || '_o' || at AS chunk_id,
-               substr(body, at + 1, 500) AS text
-        FROM cut WHERE length(substr(body, at + 1, 500)) >= 80""",
+        SELECT source, source_title, page, section, source || '_p' || page || '_o' || pos AS chunk_id,
+               substr(body, pos + 1, 500) AS text
+        FROM cut WHERE length(substr(body, pos + 1, 500)) >= 80""",
     "centroids": """
         SELECT label AS query_id, list(mean ORDER BY i) AS vector
         FROM (SELECT label, i, avg(x::DOUBLE) AS mean
@@ -223,12 +225,8 @@ CTES = {
         FROM cited GROUP BY query_id""",
 }
 
-NEEDS: dict[str, set[str]] = {}
-
-
 def needed(sql: str) -> list[str]:
     """Names of the table expressions a statement uses, directly or not."""
-    import re
 
     def direct(text: str) -> set[str]:
         return set(re.findall(r"\w+", text)) & set(CTES)
@@ -309,7 +307,7 @@ STATEMENTS = {
         SELECT stop_seq, hour_of_day, is_peak_hour, station_zone, fog_factor, count(*) AS stops,
                sum(s_no)::BIGINT AS s_no_sum, count(DISTINCT train_zone) AS train_zones, min(state) AS first_state
         FROM (
-            SELECT row_number() OVER (PARTITION BY train_number ORDER BY s_no, departure, s_no::VARCHAR, s.station_code)
+            SELECT row_number() OVER (PARTITION BY train_number ORDER BY s_no, s.station_code, departure)
                        AS stop_seq,
                    coalesce({HOUR.format(c="departure")}, 12) AS hour_of_day,
                    {peak("coalesce(" + HOUR.format(c="departure") + ", 12)", fv.PEAK_TIMINGS)} AS is_peak_hour,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +67,21 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return model.predictions_daily(ruled, F.col("run_date"))
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """A table several later steps read, written once to the shared folder."""
+    return tables.write_table(df, scratch_path(df.sparkSession, name))
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     return cascade.station_train_edges(stops(spark, sf))
 
 
+def spread(spark: SparkSession, sf: str, **options) -> DataFrame:
+    """The delays of every badly delayed stop, passed on."""
+    graph = stage(edges(spark, sf), "station-train-graph")
+    return cascade.cascade(graph, delayed_sources(spark, sf), **options)
+
+
 def delayed_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Every stop with a major delay."""
     late = labelled(spark, sf).where(F.col("arrival_delay_min") > fv.MAJOR_DELAY_MIN)
@@ -441,24 +450,23 @@ def edge_frequency(spark, sf):
 
 @query
 def cascade_hop1(spark, sf):
-    out = cascade.cascade(edges(spark, sf), delayed_sources(spark, sf), hops=1)
-    return out
+    return spread(spark, sf, hops=1)
 
 
 @query
 def cascade_hop2(spark, sf):
-    out = cascade.cascade(edges(spark, sf), delayed_sources(spark, sf), hops=2)
+    out = spread(spark, sf, hops=2)
     return out.where(F.col("hop") == 2)
 
 
 @query
 def cascade_summary(spark, sf):
-    return cascade.cascade_summary(cascade.cascade(edges(spark, sf), delayed_sources(spark, sf)))
+    return cascade.cascade_summary(spread(spark, sf))
 
 
 @query
 def cascade_wrapped(spark, sf):
-    out = cascade.cascade(edges(spark, sf), delayed_sources(spark, sf), hops=1, wrap=True)
+    out = spread(spark, sf, hops=1, wrap=True)
     return out.groupBy("scheduled_hour").agg(
         F.count(F.lit(1)).alias("stops"), F.round(F.sum("propagated_delay"), 1).alias("delay")
     )
@@ -466,7 +474,7 @@ def cascade_wrapped(spark, sf):
 
 @query
 def cascade_four_hops(spark, sf):
-    out = cascade.cascade(edges(spark, sf), delayed_sources(spark, sf), hops=4, caps=(3, 4))
+    out = spread(spark, sf, hops=4, caps=(3, 4))
     return out.groupBy("hop").agg(
         F.count(F.lit(1)).alias("stops"),
         F.countDistinct("source_train", "source_station").alias("sources"),
@@ -477,7 +485,7 @@ def cascade_four_hops(spark, sf):
 @query
 def cascade_json(spark, sf):
     """Affected stops per source as JSON, read back and counted."""
-    packed = cascade.cascade_json(cascade.cascade(edges(spark, sf), delayed_sources(spark, sf)))
+    packed = cascade.cascade_json(spread(spark, sf))
     record = "array<struct<hop: int, rank: int, train_no: string, station: string, propagated_delay: double>>"
     back = packed.select("source_train", "source_station", F.from_json("cascade", record).alias("c"))
     return back.select(
@@ -591,8 +599,9 @@ def question_topk(spark, sf):
 
 
 def fitted(spark, sf):
-    train, test = features.hash_split(labelled(spark, sf))
-    ready = model.prepare(features.stratified_cap(train))
+    """A small model, the rows it has not seen, and the rows it was fitted on."""
+    train, test = features.hash_split(stage(labelled(spark, sf), "features-delay"))
+    ready = stage(model.prepare(features.stratified_cap(train), counts_from=train), "train-rows")
     return model.train(ready, QUICK_TREES), model.prepare(test, counts_from=train), ready
 
 

@@ -30,21 +30,23 @@ def aside(df: DataFrame, names) -> DataFrame:
     return df.withColumnsRenamed({n: f"_r_{n}" for n in names})
 
 
-def hot_groups(df: DataFrame, keys, hot_rows: int = HOT_ROWS, *aggs) -> DataFrame:
+def hot_groups(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most ``rows / hot_rows`` of them.
 
     That bound is what allows this frame, and only this one, to be broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    return aside(counts.where(F.col("_rows") > hot_rows), keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return aside(counts.where(F.col("_rows") > hot_rows).select(*keys), keys)
 
 
-def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS, *aggs) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups, and rows of hot groups with their ``_rows`` and aggregates."""
-    hot = F.broadcast(hot_groups(df, keys, hot_rows, *aggs))
+def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary groups, and rows of hot groups.
+
+    Both sides read one broadcast; where it is empty, adaptive execution drops the second.
+    """
+    hot = F.broadcast(hot_groups(df, keys, hot_rows))
     condition = same(df, hot, keys)
-    ordinary = df.join(hot, condition, "left_anti")
-    return ordinary, df.join(hot, condition, "inner").drop(*(f"_r_{n}" for n in keys))
+    return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
 
 
 def expand(df: DataFrame, copies: str, index: str) -> DataFrame:
@@ -81,7 +83,7 @@ def number_rows(
     lead = order[0]
     columns = df.columns
     sorting = [F.col(c).asc_nulls_first() for c in order]
-    ordinary, hot = split_hot(df, [key], hot_rows, F.min(lead).alias("_first"))
+    ordinary, hot = split_hot(df, [key], hot_rows)
 
     whole = Window.partitionBy(key)
     extras = {}
@@ -93,14 +95,18 @@ def number_rows(
         {position: (F.row_number().over(whole.orderBy(*sorting)) - 1).cast("long"), **extras}
     )
 
-    copies = hot.groupBy(*hot.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = hot.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     copies = copies.withColumn("_slice", slice_by)
-    slices = copies.groupBy(key, "_slice").agg(F.sum("_copies").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = aside(
-        slices.select(key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")),
-        [key, "_slice"],
+    slices = copies.groupBy(key, "_slice").agg(F.sum("_copies").alias("_n"), F.min(lead).alias("_low"))
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        key,
+        "_slice",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("_size"),
+        F.min("_low").over(whole).alias("_first"),
     )
+    slices = aside(slices, [key, "_slice"])
     within = (
         Window.partitionBy(key, "_slice")
         .orderBy(*sorting, *(F.col(c).asc_nulls_first() for c in columns if c not in order))
@@ -110,7 +116,7 @@ def number_rows(
         "_start", F.col("_before") + F.coalesce(F.sum("_copies").over(within), F.lit(0))
     )
     placed = expand(placed, "_copies", "_i").withColumn(position, F.col("_start") + F.col("_i"))
-    names = {size: "_rows", first: "_first"}
+    names = {size: "_size", first: "_first"}
     placed = placed.select(
         *columns, position, *(F.col(names[c]).alias(c) for c in (size, first) if c)
     )
@@ -142,21 +148,21 @@ def smallest_by_hash(df: DataFrame, key: Column, cap: int, bin_bits: int = 20) -
     return copies.withColumn("_i", F.explode(F.sequence(F.lit(1), "_take"))).select(*columns)
 
 
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values of a column with their row counts."""
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def exact_percentiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], low: float, high: float, bins: int = 1 << 20
+    counted: DataFrame, probabilities: dict[str, float], low: float, high: float, bins: int = 1 << 20
 ) -> DataFrame:
-    """Interpolated percentiles of a whole column as one row, named by ``probabilities``.
+    """Interpolated percentiles of counted values as one row, named by ``probabilities``.
 
-    Equal values are counted first; a histogram over ``[low, high]`` (values outside it
-    fall in the end bins) finds the bins that hold the wanted ranks, and only those are
-    ordered.
+    A histogram over ``[low, high]`` (values outside it fall in the end bins) finds the bins
+    that hold the wanted ranks, and only those are ordered.
     """
-    values = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", F.width_bucket("_v", F.lit(low), F.lit(high), F.lit(bins)))
-    )
+    values = counted.withColumn("_bin", F.width_bucket("_v", F.lit(low), F.lit(high), F.lit(bins)))
     counts = values.groupBy("_bin").agg(F.sum("_n").alias("_bin_n"))
     upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
