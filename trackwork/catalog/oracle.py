@@ -160,7 +160,7 @@ CTES = {
     "located": f"""
         SELECT d.source_train, d.source_station, d.delay_min, h.hour
         FROM (SELECT train_no AS source_train, station_code AS source_station,
-                     max(round(arrival_delay_min, 2)) AS delay_min
+                     max(arrival_delay_min) AS delay_min
               FROM labelled WHERE arrival_delay_min > {fv.MAJOR_DELAY_MIN} GROUP BY ALL) d
         JOIN (SELECT train_no, station_code, min(scheduled_hour) AS hour FROM edges GROUP BY ALL) h
           ON h.train_no = d.source_train AND h.station_code = d.source_station""",
@@ -185,6 +185,54 @@ CTES = {
         WHERE rank <= 15""",
     "affected": """
         SELECT * EXCLUDE (delay_min) FROM hop1 UNION ALL BY NAME SELECT * FROM hop2""",
+    "short1": """
+        SELECT * FROM (
+            SELECT source_train, source_station, e.train_no, e.station_code, e.scheduled_hour, delay_min, hour AS source_hour,
+                   row_number() OVER (PARTITION BY source_train, source_station
+                       ORDER BY abs(e.scheduled_hour - hour), e.train_no, e.scheduled_hour) AS rank
+            FROM located JOIN edges e ON e.station_code = source_station AND e.train_no <> source_train
+                 AND abs(e.scheduled_hour - hour) <= 2)
+        WHERE rank <= 3""",
+    "short2": """
+        SELECT * FROM (
+            SELECT source_train, source_station, e.train_no, e.station_code, e.scheduled_hour, delay_min,
+                   row_number() OVER (PARTITION BY source_train, source_station
+                       ORDER BY first_rank, e.station_code, e.scheduled_hour, e.train_no) AS rank
+            FROM (SELECT source_train, source_station, train_no, min(rank) AS first_rank, max(delay_min) AS delay_min
+                  FROM short1 GROUP BY ALL) h
+            JOIN edges e ON e.train_no = h.train_no AND e.station_code <> source_station)
+        WHERE rank <= 4""",
+    "seen2": """
+        SELECT source_train, source_station, train_no, station_code FROM short1
+        UNION SELECT source_train, source_station, train_no, station_code FROM short2""",
+    "short3": """
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY source_train, source_station
+                       ORDER BY best, train_no, station_code, scheduled_hour) AS rank
+            FROM (SELECT f.source_train, f.source_station, e.train_no, e.station_code, e.scheduled_hour,
+                         max(f.delay_min) AS delay_min,
+                         min(ROW(f.rank, abs(e.scheduled_hour - f.scheduled_hour), e.train_no, e.scheduled_hour)) AS best
+                  FROM short2 f JOIN edges e ON e.station_code = f.station_code AND e.train_no <> f.source_train
+                       AND abs(e.scheduled_hour - f.scheduled_hour) <= 2
+                  WHERE NOT EXISTS (SELECT 1 FROM seen2 s WHERE s.source_train = f.source_train
+                        AND s.source_station = f.source_station AND s.train_no = e.train_no
+                        AND s.station_code = e.station_code)
+                  GROUP BY ALL))
+        WHERE rank <= 3""",
+    "seen3": """
+        SELECT * FROM seen2 UNION SELECT source_train, source_station, train_no, station_code FROM short3""",
+    "short4": """
+        SELECT * FROM (
+            SELECT source_train, source_station, e.train_no, e.station_code, e.scheduled_hour, delay_min,
+                   row_number() OVER (PARTITION BY source_train, source_station
+                       ORDER BY first_rank, e.station_code, e.scheduled_hour, e.train_no) AS rank
+            FROM (SELECT source_train, source_station, train_no, min(rank) AS first_rank, max(delay_min) AS delay_min
+                  FROM short3 GROUP BY ALL) h
+            JOIN edges e ON e.train_no = h.train_no AND e.station_code <> source_station
+            WHERE NOT EXISTS (SELECT 1 FROM seen3 s WHERE s.source_train = h.source_train
+                  AND s.source_station = h.source_station AND s.train_no = e.train_no
+                  AND s.station_code = e.station_code))
+        WHERE rank <= 4""",
     "pages_of": r"""
         SELECT source, 'Rulebook ' || source AS source_title, doc_id AS page,
                CASE WHEN doc_id % 3 = 0 THEN (doc_id % 90 + 54) || CASE WHEN doc_id % 2 = 0 THEN 'A. ' ELSE '. ' END ELSE '' END
@@ -274,7 +322,7 @@ FROM read"""
 
 AIR_COLUMNS = list(fv.POLLUTANTS.values())
 RATIO = "100.0::DOUBLE * count(*) FILTER ({}) / count(*)"
-SHOWN = "SELECT *, round(greatest(round(arrival_delay_min, 4), 0::DOUBLE), 1) AS delay_shown FROM labelled"
+SHOWN = "SELECT *, round(greatest(arrival_delay_min, 0::DOUBLE), 1) AS delay_shown FROM labelled"
 QUESTION = "'" + fv.RIGHTS_QUESTION.replace("%d", "' || floor(delay_shown)::BIGINT || '") + "'"
 KEYED_42 = "train_no || '|' || stop_seq || '|42'"
 INPUTS = [*fv.NUMERIC_FEATURES, "train_no_freq", "station_code_freq"]
@@ -496,6 +544,12 @@ STATEMENTS = {
               FROM located JOIN edges e ON e.station_code = source_station AND e.train_no <> source_train
                    AND least(abs(e.scheduled_hour - hour), 24 - abs(e.scheduled_hour - hour)) <= 2)
         WHERE rank <= 10 GROUP BY scheduled_hour""",
+    "cascade_four_hops": " UNION ALL ".join(
+        f"SELECT {hop} AS hop, count(*) AS stops, count(DISTINCT source_train || ',' || source_station) AS sources, "
+        f"round(max(delay_min) * {fv.CASCADE_DECAY**hop!r}::DOUBLE, 1) AS longest, "
+        f"sum(scheduled_hour * rank)::BIGINT AS hour_sum, count(DISTINCT train_no) AS trains FROM short{hop}"
+        for hop in (1, 2, 3, 4)
+    ),
     "cascade_json": """
         SELECT source_train, source_station, count(*)::INT AS n, arg_min(train_no, hop * 100 + rank) AS first_train,
                arg_min(propagated_delay, hop * 100 + rank) AS first_delay

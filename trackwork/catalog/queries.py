@@ -88,7 +88,7 @@ def delayed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return late.select(
         F.col("train_no").alias("source_train"),
         F.col("station_code").alias("source_station"),
-        F.round("arrival_delay_min", 2).alias("delay_min"),
+        F.col("arrival_delay_min").alias("delay_min"),
     )
 
 
@@ -328,7 +328,7 @@ def risk_levels(spark, sf):
 @query
 def passenger_forecast(spark, sf):
     """Labels on the observed delays, which cover the whole range."""
-    seen = labelled(spark, sf).withColumn("predicted_delay_min", F.round("arrival_delay_min", 4))
+    seen = labelled(spark, sf).withColumn("predicted_delay_min", F.col("arrival_delay_min"))
     return forecast.passenger_forecast(seen).select(
         "train_no", "stop_seq", "delay_shown", "risk", "fog", "rights_question"
     )
@@ -336,7 +336,7 @@ def passenger_forecast(spark, sf):
 
 @query
 def rights_queries(spark, sf):
-    seen = labelled(spark, sf).withColumn("predicted_delay_min", F.round("arrival_delay_min", 4))
+    seen = labelled(spark, sf).withColumn("predicted_delay_min", F.col("arrival_delay_min"))
     return forecast.rights_queries(seen)
 
 
@@ -479,6 +479,8 @@ def cascade_four_hops(spark, sf):
         F.count(F.lit(1)).alias("stops"),
         F.countDistinct("source_train", "source_station").alias("sources"),
         F.max("propagated_delay").alias("longest"),
+        F.sum(F.col("scheduled_hour") * F.col("rank")).alias("hour_sum"),
+        F.countDistinct("train_no").alias("trains"),
     )
 
 

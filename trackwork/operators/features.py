@@ -71,10 +71,9 @@ def stratified_cap(
     seed: int = 42,
 ) -> DataFrame:
     """A sample of at most ``cap`` rows: four fifths minor delays, one fifth major ones."""
-    key = row_key(key_cols, seed)
-    minor = smallest_by_hash(df.where(F.col(label) <= threshold), key, int(cap * 0.8))
-    major = smallest_by_hash(df.where(F.col(label) > threshold), key, int(cap * 0.2))
-    return minor.unionByName(major)
+    delay = F.col(label)
+    caps = [(delay <= threshold, int(cap * 0.8)), (delay > threshold, int(cap * 0.2))]
+    return smallest_by_hash(df, row_key(key_cols, seed), caps)
 
 
 def hash_sample(
@@ -86,13 +85,13 @@ def hash_sample(
 ) -> DataFrame:
     """A uniform sample of a fraction of the rows, at most ``cap`` of them."""
     key = row_key(key_cols, seed)
-    chosen = df.where(hash_int(key, 3) < F.lit(int(fraction * 2**32)))
-    return smallest_by_hash(chosen, key, cap)
+    chosen = hash_int(key, 3) < F.lit(int(fraction * 2**32))
+    return smallest_by_hash(df, key, [(chosen, cap)])
 
 
 def capped(df: DataFrame, n: int, key_cols, seed: int = 42) -> DataFrame:
     """At most ``n`` rows, chosen by hash of the key."""
-    return smallest_by_hash(df, row_key(key_cols, seed), n)
+    return smallest_by_hash(df, row_key(key_cols, seed), [(F.lit(True), n)])
 
 
 def request_features(requests: DataFrame, history: DataFrame, default: int = fv.REQUEST_FREQUENCY) -> DataFrame:

@@ -30,8 +30,9 @@ def schedule_features(
     towards ``total_stops``. Arrival and departure share one day number; a dwell over
     midnight reads as 0 unless ``overnight`` adds the missing day.
     """
+    train_no = F.col("train_number").cast("string").alias("train_no")
     parsed = schedules.select(
-        F.col("train_number").cast("string").alias("train_no"),
+        train_no,
         "train_name",
         "station_code",
         "station_name",
@@ -52,6 +53,7 @@ def schedule_features(
         size="total_stops",
         first="origin_dep_min",
         hot_rows=hot_rows,
+        census=schedules.select(train_no),
     )
 
     departed = F.col("dep_abs_min")

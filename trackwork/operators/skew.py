@@ -39,12 +39,15 @@ def hot_groups(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> DataFrame:
     return aside(counts.where(F.col("_rows") > hot_rows).select(*keys), keys)
 
 
-def split_hot(df: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def split_hot(
+    df: DataFrame, keys, hot_rows: int = HOT_ROWS, census: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary groups, and rows of hot groups.
 
     Both sides read one broadcast; where it is empty, adaptive execution drops the second.
+    ``census`` is a cheaper frame to count the keys in, such as the input before any parsing.
     """
-    hot = F.broadcast(hot_groups(df, keys, hot_rows))
+    hot = F.broadcast(hot_groups(df if census is None else census, keys, hot_rows))
     condition = same(df, hot, keys)
     return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
 
@@ -72,6 +75,7 @@ def number_rows(
     size: str | None = None,
     first: str | None = None,
     hot_rows: int = HOT_ROWS,
+    census: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row within its key, optionally with size and first value.
 
@@ -83,7 +87,7 @@ def number_rows(
     lead = order[0]
     columns = df.columns
     sorting = [F.col(c).asc_nulls_first() for c in order]
-    ordinary, hot = split_hot(df, [key], hot_rows)
+    ordinary, hot = split_hot(df, [key], hot_rows, census)
 
     whole = Window.partitionBy(key)
     extras = {}
@@ -123,28 +127,34 @@ def number_rows(
     return ordinary.unionByName(placed)
 
 
-def smallest_by_hash(df: DataFrame, key: Column, cap: int, bin_bits: int = 20) -> DataFrame:
-    """The ``cap`` rows with the smallest key hash: a repeatable sample of that size.
+def smallest_by_hash(df: DataFrame, key: Column, caps: list[tuple[Column, int]], bin_bits: int = 20) -> DataFrame:
+    """For each (condition, cap), the ``cap`` matching rows with the smallest key hash.
 
-    Bin counts locate the bin where the cap falls; later bins never leave the scan. Each
-    bin kept starts below the cap, so there are at most ``cap`` of them to broadcast.
+    A sample of fixed size that repeats itself. A row belongs to the first condition it
+    meets. Bin counts locate the bin where a cap falls; later bins never leave the scan. Each
+    bin kept starts below its cap, so the caps bound how many there are to broadcast.
     """
     columns = df.columns
-    tagged = df.withColumn("_hash", hash_int(key)).withColumn(
+    strata = [F.when(condition, F.lit(i)) for i, (condition, _) in enumerate(caps)]
+    tagged = df.withColumns({"_stratum": F.coalesce(*strata), "_hash": hash_int(key)})
+    tagged = tagged.where(F.col("_stratum").isNotNull()).withColumn(
         "_bin", F.shiftright("_hash", 32 - bin_bits)
     )
-    bins = tagged.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("_bin", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    kept = tagged.join(F.broadcast(bins.where(F.col("_before") < cap)), "_bin", "inner")
+    bins = tagged.groupBy("_stratum", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_stratum").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.get(F.array(*(F.lit(cap) for _, cap in caps)), F.col("_stratum"))
+    bins = bins.select(
+        "_stratum", "_bin", (room - F.coalesce(F.sum("_n").over(upto), F.lit(0))).alias("_room")
+    )
+    kept = tagged.join(F.broadcast(bins.where(F.col("_room") > 0)), ["_stratum", "_bin"], "inner")
     copies = kept.groupBy(*kept.columns).agg(F.count(F.lit(1)).alias("_copies"))
     taken = (
-        Window.partitionBy("_bin")
+        Window.partitionBy("_stratum", "_bin")
         .orderBy("_hash", *(F.col(c).asc_nulls_first() for c in columns))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    room = F.lit(cap) - F.col("_before") - F.coalesce(F.sum("_copies").over(taken), F.lit(0))
-    copies = copies.withColumn("_take", F.least("_copies", room)).where(F.col("_take") > 0)
+    left = F.col("_room") - F.coalesce(F.sum("_copies").over(taken), F.lit(0))
+    copies = copies.withColumn("_take", F.least("_copies", left)).where(F.col("_take") > 0)
     return copies.withColumn("_i", F.explode(F.sequence(F.lit(1), "_take"))).select(*columns)
 
 
