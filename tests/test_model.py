@@ -43,6 +43,13 @@ def test_unseen_category(fitted):
     assert model.score(trees, test.withColumn("zone", F.lit("XX"))).where("predicted_delay_min is null").count() == 0
 
 
+def test_scoring_a_bare_request(fitted, stops, spark):
+    trees, _, _ = fitted
+    asked = spark.createDataFrame([("t1", "s1", 8), ("new", "new", 23)], "train_no string, station_code string, scheduled_hour int")
+    ready = features.complete_features(features.request_features(asked, stops))
+    assert model.score(trees, ready).where("predicted_delay_min between 0 and 360").count() == 2
+
+
 def test_numeric_features_only(stops):
     ready = model.prepare(stops)
     trees = model.train(ready, {**PARAMS, "maxIter": 2}, use_categoricals=False)

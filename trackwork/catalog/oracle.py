@@ -529,8 +529,8 @@ STATEMENTS = {
     "edge_frequency": """
         SELECT train_no, station_code, count(*) AS frequency FROM edges GROUP BY ALL
         ORDER BY frequency DESC, train_no, station_code LIMIT 10""",
-    "cascade_hop1": "SELECT * EXCLUDE (delay_min) FROM hop1",
-    "cascade_hop2": "SELECT * FROM hop2",
+    "cascade_hop1": "SELECT * EXCLUDE (delay_min) REPLACE (rank::INT AS rank) FROM hop1",
+    "cascade_hop2": "SELECT * REPLACE (rank::INT AS rank) FROM hop2",
     "cascade_summary": """
         SELECT source_train, source_station, count(*) AS total_affected, count(*) FILTER (hop = 1) AS hop1_count,
                count(*) FILTER (hop = 2) AS hop2_count
@@ -574,7 +574,7 @@ STATEMENTS = {
                round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6)
                    AS first
         FROM embeddings""",
-    "vector_topk": "SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM hits",
+    "vector_topk": "SELECT query_id, chunk_id, round(score, 4) AS score, rank::INT AS rank FROM hits",
     "rag_context": "SELECT * FROM contexts",
     "citations": """
         SELECT query_id, string_agg(source_title || ', ' || section || ', ' || page, '; ' ORDER BY rank) AS citations

@@ -620,6 +620,18 @@ def model_metrics(spark, sf):
     return model.baseline_metrics(train, scored, model.LABEL, "predicted_delay_min")
 
 
+@query
+def request_forecast(spark, sf):
+    """Requests with little more than a train, a station and an hour, scored and labelled."""
+    history = labelled(spark, sf)
+    trees, _, _ = fitted(spark, sf)
+    asked = features.request_features(st.requests(spark, sf), history)
+    scored = model.score(trees, features.complete_features(asked))
+    return forecast.passenger_forecast(scored).select(
+        "request_id", "train_no", "station_code", "delay_shown", "risk", "fog", "rights_question"
+    )
+
+
 def attributions(spark, sf):
     trees, test, train = fitted(spark, sf)
     keyed = test.withColumn("row_id", F.concat_ws("|", "train_no", "stop_seq"))

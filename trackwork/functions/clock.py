@@ -45,7 +45,7 @@ def parse_clock(text: Column) -> Column:
 
 def hour_of_day(clock: Column, default: int = 12) -> Column:
     """Hour of a clock string, with a default where it is missing."""
-    return F.coalesce(clock_part(clock, 0), F.lit(default))
+    return F.coalesce(clock_part(clock, 0).cast("int"), F.lit(default))
 
 
 def is_peak(hour: Column, spans) -> Column:

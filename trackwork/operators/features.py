@@ -26,7 +26,10 @@ def frequency_encode(df: DataFrame, cols=fv.FREQUENCY_FEATURES, counts_from: Dat
 
 
 def index_categories(df: DataFrame, cols=fv.CATEGORY_FEATURES) -> DataFrame:
-    """``{c}_code``: place of the value in the sorted list of distinct values, -1 for null."""
+    """``{c}_code``: place of the value in the sorted list of distinct values, -1 for null.
+
+    For columns with few distinct values; only those are ordered.
+    """
     for c in existing(df, cols):
         distinct = df.select(c).where(F.col(c).isNotNull()).distinct()
         codes = distinct.withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
@@ -39,6 +42,14 @@ def fill_features(df: DataFrame) -> DataFrame:
     return fill_defaults(df, fv.NUMERIC_DEFAULTS, fv.CATEGORY_FEATURES, fv.UNKNOWN)
 
 
+def complete_features(df: DataFrame) -> DataFrame:
+    """Every model input present and filled, the absent ones with their defaults."""
+    absent = [c for c in fv.NUMERIC_DEFAULTS if c not in df.columns]
+    df = df.withColumns({c: F.lit(fv.NUMERIC_DEFAULTS[c]) for c in absent})
+    df = df.withColumns({c: F.lit(fv.UNKNOWN) for c in fv.CATEGORY_FEATURES if c not in df.columns})
+    return fill_features(df)
+
+
 def model_features(df: DataFrame) -> list[str]:
     """Numeric inputs the frame has, frequency columns last."""
     return existing(df, [*fv.NUMERIC_FEATURES, *(f"{c}_freq" for c in fv.FREQUENCY_FEATURES)])
