@@ -48,7 +48,7 @@ def schedule_features(
         parsed,
         "train_no",
         ["dep_abs_min", *ties],
-        slice_by=F.col("dep_abs_min"),
+        levels=["dep_abs_min", "station_code"],
         position="stop_seq",
         size="total_stops",
         first="origin_dep_min",
@@ -84,13 +84,15 @@ def sequence_by(
     df: DataFrame, key: str, order: str, name: str = "stop_seq", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """1-based position within the key by a numeric order column, unreadable values first."""
-    lead = F.coalesce(F.col(order).try_cast("double"), F.lit(float("-inf")))
+    lowest = F.lit(float("-inf"))
+    lead = F.coalesce(F.nanvl(F.col(order).try_cast("double"), lowest), lowest)
+    block = F.floor(F.greatest(lead, F.lit(-1e12)) / 4096)
     rest = [c for c in df.columns if c != key]
     numbered = number_rows(
-        df.withColumn("_lead", lead),
+        df.withColumns({"_lead": lead, "_block": block}),
         key,
         ["_lead", *rest],
-        slice_by=F.floor(F.greatest(F.col("_lead"), F.lit(-1e12)) / 4096),
+        levels=["_block", "_lead", rest[0]],
         position=name,
         hot_rows=hot_rows,
     )

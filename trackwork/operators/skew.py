@@ -70,7 +70,7 @@ def number_rows(
     df: DataFrame,
     key: str,
     order: list[str],
-    slice_by: Column,
+    levels: list[str],
     position: str = "position",
     size: str | None = None,
     first: str | None = None,
@@ -79,13 +79,13 @@ def number_rows(
 ) -> DataFrame:
     """0-based position of each row within its key, optionally with size and first value.
 
-    ``order[0]`` sorts first and must not be null. ``slice_by`` is a non-decreasing
-    function of it with few distinct values per key; a hot key is cut into those
-    slices, each placed by the running count of the slices before it. Rows equal in
-    every column are interchangeable, so they travel as one row with a count.
+    ``order[0]`` sorts first and must not be null. Sorting by ``levels`` must agree with
+    sorting by ``order``; a hot key is cut level by level, and each piece is placed by the
+    running count of the pieces before it, so that a task orders the distinct values of one
+    level at most. Rows equal in every column are interchangeable and travel as one row with
+    a count.
     """
-    lead = order[0]
-    columns = df.columns
+    columns = [c for c in df.columns if c in order or c not in levels]
     sorting = [F.col(c).asc_nulls_first() for c in order]
     ordinary, hot = split_hot(df, [key], hot_rows, census)
 
@@ -94,37 +94,53 @@ def number_rows(
     if size:
         extras[size] = F.count(F.lit(1)).over(whole)
     if first:
-        extras[first] = F.min(lead).over(whole)
+        extras[first] = F.min(order[0]).over(whole)
     ordinary = ordinary.withColumns(
         {position: (F.row_number().over(whole.orderBy(*sorting)) - 1).cast("long"), **extras}
     )
 
-    copies = hot.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    copies = copies.withColumn("_slice", slice_by)
-    slices = copies.groupBy(key, "_slice").agg(F.sum("_copies").alias("_n"), F.min(lead).alias("_low"))
-    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        key,
-        "_slice",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("_size"),
-        F.min("_low").over(whole).alias("_first"),
-    )
-    slices = aside(slices, [key, "_slice"])
+    copies = hot.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    start = _level_starts(copies, key, order[0], levels)
     within = (
-        Window.partitionBy(key, "_slice")
+        Window.partitionBy(key, *levels)
         .orderBy(*sorting, *(F.col(c).asc_nulls_first() for c in columns if c not in order))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = copies.join(slices, same(copies, slices, [key, "_slice"]), "inner").withColumn(
+    placed = copies.join(start, same(copies, start, [key, *levels]), "inner").withColumn(
         "_start", F.col("_before") + F.coalesce(F.sum("_copies").over(within), F.lit(0))
     )
     placed = expand(placed, "_copies", "_i").withColumn(position, F.col("_start") + F.col("_i"))
     names = {size: "_size", first: "_first"}
-    placed = placed.select(
-        *columns, position, *(F.col(names[c]).alias(c) for c in (size, first) if c)
+    extras = [F.col(names[c]).alias(c) for c in (size, first) if c]
+    return ordinary.select(*columns, position, *(c for c in (size, first) if c)).unionByName(
+        placed.select(*columns, position, *extras)
     )
-    return ordinary.unionByName(placed)
+
+
+def _level_starts(copies: DataFrame, key: str, lead: str, levels: list[str]) -> DataFrame:
+    """Rows of the key before each piece, with the key's size and first value."""
+    start = None
+    for depth, level in enumerate(levels):
+        prefix = [key, *levels[:depth]]
+        group = Window.partitionBy(*prefix)
+        earlier = group.orderBy(F.col(level).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        pieces = copies.groupBy(*prefix, level).agg(F.sum("_copies").alias("_n"), F.min(lead).alias("_low"))
+        before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        if start is None:
+            pieces = pieces.select(
+                *prefix,
+                level,
+                before.alias("_before"),
+                F.sum("_n").over(group).alias("_size"),
+                F.min("_low").over(group).alias("_first"),
+            )
+        else:
+            pieces = pieces.withColumn("_more", before).join(start, same(pieces, start, prefix), "inner")
+            pieces = pieces.select(
+                *prefix, level, (F.col("_before") + F.col("_more")).alias("_before"), "_size", "_first"
+            )
+        start = aside(pieces, [*prefix, level])
+    return start
 
 
 def smallest_by_hash(df: DataFrame, key: Column, caps: list[tuple[Column, int]], bin_bits: int = 20) -> DataFrame:
