@@ -289,7 +289,7 @@ def delayed_pairs(spark, sf):
 
 @query
 def scatter_points(spark, sf):
-    points = predictions(spark, sf).withColumn("day", F.col("run_date").cast("string"))
+    points = stage(predictions(spark, sf), "predictions").withColumn("day", F.col("run_date").cast("string"))
     out = views.scatter(points, ("train_no", "station_code", "day"))
     return shown(out, pm25=4)
 
@@ -313,7 +313,7 @@ def baseline_metrics(spark, sf):
     ruled = views.rule_predictions(labelled(spark, sf)).withColumnRenamed(
         "arrival_delay_min", "actual_delay_min"
     )
-    train, test = features.hash_split(ruled)
+    train, test = features.hash_split(stage(ruled, "ruled"))
     out = model.baseline_metrics(train, test)
     return shown(out, **{c: 4 for c in out.columns})
 
@@ -417,8 +417,8 @@ def date_split(spark, sf):
 
 @query
 def stratified_sample(spark, sf):
-    sample = features.stratified_cap(labelled(spark, sf), cap=5000)
-    return shown(sample.select("train_no", "stop_seq", "arrival_delay_min"), arrival_delay_min=5)
+    rows = labelled(spark, sf).select("train_no", "stop_seq", "arrival_delay_min")
+    return shown(features.stratified_cap(stage(rows, "labels"), cap=5000), arrival_delay_min=5)
 
 
 @query

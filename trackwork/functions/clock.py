@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 MINUTES_PER_DAY = 1440
 
 
+def is_clock(clock: Column) -> Column:
+    """Whether the text opens with whole numbers on both sides of a colon."""
+    return clock.rlike(r"^\s*\d{1,6}\s*:\s*\d{1,6}\s*(:|$)")
+
+
 def clock_part(clock: Column, index: int) -> Column:
-    """Hour (0) or minute (1) of ``HH:MM``, null where it is not a whole number."""
-    return F.get(F.split(clock, ":"), F.lit(index)).try_cast("int").cast("long")
+    """Hour (0) or minute (1) of ``HH:MM``, null where it is not a whole number.
+
+    The pattern comes first because a cast that fails costs an exception per row.
+    """
+    part = F.get(F.split(clock, ":"), F.lit(index))
+    return F.when(part.rlike(r"^\s*\d{1,6}\s*$"), part.cast("long"))
 
 
 def to_minutes(clock: Column, day: Column | None = None) -> Column:
     """Minutes since midnight, or since the start of day zero when a day is given."""
-    minutes = clock_part(clock, 0) * 60 + clock_part(clock, 1)
-    if day is None:
-        return minutes
-    return F.coalesce(day, F.lit(1)) * MINUTES_PER_DAY + minutes
+    parts = F.split(clock, ":")
+    hour, minute = (F.get(parts, F.lit(i)).cast("long") for i in (0, 1))
+    start = F.lit(0) if day is None else F.coalesce(day, F.lit(1)) * MINUTES_PER_DAY
+    return F.when(is_clock(clock), start + hour * 60 + minute)
 
 
 def parse_clock(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackwork import fixed_values as fv
 from trackwork.functions.cleaning import null_if
-from trackwork.functions.clock import MINUTES_PER_DAY, clock_part, is_peak, to_minutes
+from trackwork.functions.clock import MINUTES_PER_DAY, clock_part, is_clock, is_peak, to_minutes
 from trackwork.functions.factors import route_category
 from trackwork.operators.skew import HOT_ROWS, number_rows
 
@@ -31,7 +31,7 @@ def schedule_features(
     midnight reads as 0 unless ``overnight`` adds the missing day.
     """
     train_no = F.col("train_number").cast("string").alias("train_no")
-    parsed = schedules.select(
+    parsed = schedules.where(is_clock(F.col("departure"))).select(
         train_no,
         "train_name",
         "station_code",
@@ -41,7 +41,7 @@ def schedule_features(
         "departure",
         to_minutes(F.col("departure"), F.col("day")).alias("dep_abs_min"),
         *keep,
-    ).where(F.col("dep_abs_min").isNotNull())
+    )
 
     ties = ["station_code", "journey_day", "arrival", "departure", "train_name", "station_name", *keep]
     placed = number_rows(
