@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.packing import pack
 from trackwork.llm.tables import table
 from trackwork.llm.token_counts import count_tokens
@@ -15,6 +16,11 @@ END_ID = 1
 COUNT_LIMIT = 2048
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles agree to 85 in 100."""
+    return jaccard_components(table(spark, sf_dir, "documents"), Similarity(words=4, share=85))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether there are more than 2,048."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), COUNT_LIMIT)
@@ -25,6 +31,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), SEQUENCE_TOKENS, END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_token_counts, op7_best_fit_packing)}
 
 ORACLE: dict[str, str] = {}
