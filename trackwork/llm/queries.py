@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackwork.llm.jaccard import Similarity, jaccard_components
+from trackwork.llm.materialise import materialise, shard_folder
+from trackwork.llm.nearest import nearest
 from trackwork.llm.packing import pack
 from trackwork.llm.tables import table
 from trackwork.llm.token_counts import count_tokens
@@ -14,6 +17,7 @@ WORD_BPE = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 COUNT_LIMIT = 2048
+ORDER_KEY = 20_240_917
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +30,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), COUNT_LIMIT)
 
 
+def op6_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors, by cosine, of every vector whose id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4,096 tokens."""
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), SEQUENCE_TOKENS, END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_token_counts, op7_best_fit_packing)}
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token shards in permuted order, and where each sequence went."""
+    docs = table(spark, sf_dir, "documents")
+    return materialise(docs, vocabulary(WORD_BPE), shard_folder(spark), length=2048, end_id=END_ID, key=ORDER_KEY)
+
+
+QUERIES = {f.__name__: f for f in (
+        op3_ngram_jaccard_join,
+        op4_token_counts,
+        op6_block_matrix_neighbours,
+        op7_best_fit_packing,
+        op10_training_order,
+    )}
 
 ORACLE: dict[str, str] = {}
