@@ -64,9 +64,9 @@ def document_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
-    """Per document: doc, n, digest of its set, prefix, digest of the prefix."""
+    """Per document: doc, text_hash, n, digest of its set, prefix, digest of the prefix."""
     order = docs.sparkSession.sparkContext.broadcast(document_counts(docs, text, like.words))
-    names = ["doc", "n", "digest", "prefix", "prefix_digest"]
+    names = ["doc", "text_hash", "n", "digest", "prefix", "prefix_digest"]
 
     def first_ones(batches):
         counts = order.value
@@ -83,11 +83,12 @@ def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> Da
             offsets = np.cumsum([0, *map(len, heads)])
             values = np.concatenate([np.empty(0, dtype=np.uint64), *heads]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-            made = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(head_digests, pa.binary())]
+            made = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(head_digests, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    schema = "doc bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary"
-    return docs.select(F.col(id_column).cast("bigint"), F.col(text).cast("binary")).mapInArrow(first_ones, schema)
+    schema = "doc bigint, text_hash bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary"
+    value = F.col(text).cast("string")
+    return docs.select(F.col(id_column).cast("bigint"), value.cast("binary"), F.xxhash64(value)).mapInArrow(first_ones, schema)
 
 
 def classes_in_groups(found: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def open_pairs(members: DataFrame, shared: DataFrame, like: Similarity) -> DataF
 
 
 def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the smallest id that links reach.
+    """(id, n_shingles, component_id, text_hash) of every row; component_id is the smallest id that links reach.
 
     Exact for any data: every pair that could link is compared unless its ends are already connected.
     A null or empty text has no shingles and no links. Rows with a null id are returned without a
@@ -205,6 +206,6 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_colu
     tops = written(tops.select("n", "digest", "doc", "top"), "tops")
     smallest = tops.groupBy("top").agg(F.min("doc").alias("component_id"))
     named = tops.join(smallest, "top").select("n", "digest", "component_id")
-    out = found.select("doc", "n", "digest").join(named, ["n", "digest"], "left")
+    out = found.select("doc", "text_hash", "n", "digest").join(named, ["n", "digest"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    return out.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")

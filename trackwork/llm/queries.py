@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackwork.llm.decontaminate import contaminated
 from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.materialise import materialise, shard_folder
 from trackwork.llm.nearest import nearest
 from trackwork.llm.packing import pack
+from trackwork.llm.quality import THRESHOLD, scored
 from trackwork.llm.tables import table
 from trackwork.llm.token_counts import count_tokens
 from trackwork.llm.tokens import vocabulary
@@ -30,6 +32,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), COUNT_LIMIT)
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps, with their chance of being bad."""
+    scores = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.where(F.col("reject_score") < THRESHOLD)
+
+
 def op6_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors, by cosine, of every vector whose id is divisible by 50."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -40,6 +48,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), SEQUENCE_TOKENS, END_ID)
 
 
+def op9_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item or more."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token shards in permuted order, and where each sequence went."""
     docs = table(spark, sf_dir, "documents")
@@ -49,8 +62,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
         op3_ngram_jaccard_join,
         op4_token_counts,
+        op5_weak_label_quality,
         op6_block_matrix_neighbours,
         op7_best_fit_packing,
+        op9_benchmark_tiling,
         op10_training_order,
     )}
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwork.llm.tables import fresh
+
 BLOOM_BITS = 1 << 24
 BLOOM_PROBES = 3
 
@@ -24,11 +26,11 @@ def _probes(ids: np.ndarray) -> np.ndarray:
     return np.stack([(first + second * np.uint64(i)) % np.uint64(BLOOM_BITS) for i in range(BLOOM_PROBES)])
 
 
-def only_likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose key (bigint) may be in ``wanted``, a frame of one column.
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame) -> Column:
+    """Whether ``key`` (bigint, not null) may be in ``wanted``, a frame of one column.
 
-    Every wanted row is kept and a few more; a join by the caller drops those. The filter has 2 MB
-    for any number of keys: with very many it keeps more rows, and the join shuffles them.
+    True for every key that is there and for a few others. The filter has 2 MB for any number of keys;
+    with very many it says yes more often.
     """
 
     def fill(batches):
@@ -36,14 +38,14 @@ def only_likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
         bits = np.zeros(BLOOM_BITS, dtype=bool)
         for batch in batches:
-            bits[_probes(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
+            bits[_probes(batch.column(0).to_numpy()).ravel()] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["bits"])
 
     keys = wanted.toDF("key").where("key is not null")
     filled = summed(keys.mapInArrow(fill, "bits binary"), "u1", np.bitwise_or)
     if filled is None:
-        return rows.limit(0)
+        return F.lit(False)
     shared = rows.sparkSession.sparkContext.broadcast(filled)
 
     @F.pandas_udf("boolean")
@@ -54,4 +56,32 @@ def only_likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
         bits = shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
         return pd.Series((bits & 1).all(axis=0))
 
-    return rows.where(F.col(column).isNotNull()).where(likely(F.coalesce(F.col(column), F.lit(0))))
+    return likely(key)
+
+
+def only_likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be in ``wanted``: all of those and a few more, which a join by the caller drops."""
+    known = rows.where(F.col(column).isNotNull())
+    return known.where(likely_in(rows, F.coalesce(F.col(column), F.lit(0)), wanted))
+
+
+def without(docs: DataFrame, id_column: str, text: str, gone: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """``docs`` less the rows named in ``gone`` (id, text_hash); of each row named in ``single`` one stays.
+
+    Rows that a filter of fixed size rules out pass through where they are; only the others are joined,
+    so that texts which stay do not move. Nulls in the id are equal to each other here.
+    """
+    names = gone.toDF("_id", "_hash").distinct()
+    keys = names.select("_hash") if single is None else names.select("_hash").union(single.toDF("_id", "_hash").select("_hash"))
+    own_hash, likely = fresh(docs, "text_hash"), fresh(docs, "likely")
+    hashed = docs.withColumn(own_hash, F.xxhash64(F.col(text).cast("string")))
+    marked = hashed.withColumn(likely, likely_in(docs, F.col(own_hash), keys))
+    some = marked.where(F.col(likely))
+    same = (some[own_hash] == names["_hash"]) & some[id_column].eqNullSafe(names["_id"])
+    left = some.join(names, same, "left_anti")
+    if single is not None:
+        again = single.toDF("_id", "_hash").distinct()
+        repeats = (left[own_hash] == again["_hash"]) & left[id_column].eqNullSafe(again["_id"])
+        once = left.join(again, repeats, "left_semi").dropDuplicates([id_column, own_hash])
+        left = left.join(again, repeats, "left_anti").unionByName(once)
+    return marked.where(~F.col(likely)).unionByName(left).select(*docs.columns)

@@ -24,3 +24,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def kind(df: DataFrame, column: str) -> str:
     """SQL type of a column."""
     return df.schema[column].dataType.simpleString()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
