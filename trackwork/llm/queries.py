@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackwork.llm.chat import ROTATE_SQL, rotate
 from trackwork.llm.decontaminate import contaminated
+from trackwork.llm.html_text import extract
 from trackwork.llm.jaccard import Similarity, jaccard_components
+from trackwork.llm.license_scan import scan_licenses
 from trackwork.llm.materialise import materialise, shard_folder
 from trackwork.llm.nearest import nearest
 from trackwork.llm.packing import pack
@@ -22,6 +25,16 @@ COUNT_LIMIT = 2048
 ORDER_KEY = 20_240_917
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each of its speakers."""
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
+def op2_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles agree to 85 in 100."""
     return jaccard_components(table(spark, sf_dir, "documents"), Similarity(words=4, share=85))
@@ -48,6 +61,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), SEQUENCE_TOKENS, END_ID)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item or more."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,13 +78,17 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
+        op1_perspective_rotation,
+        op2_html_tree_scoring,
         op3_ngram_jaccard_join,
         op4_token_counts,
         op5_weak_label_quality,
         op6_block_matrix_neighbours,
         op7_best_fit_packing,
+        op8_license_scan,
         op9_benchmark_tiling,
         op10_training_order,
     )}
 
-ORACLE: dict[str, str] = {}
+#: The others read markup, tokens or trained models; tests compare them with brute force.
+ORACLE: dict[str, str] = {"op1_perspective_rotation": ROTATE_SQL}
