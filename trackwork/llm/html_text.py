@@ -130,12 +130,11 @@ def _scores(page: Page) -> tuple[list[float], list[int], list[int]]:
             continue
         given = 1 + text.count(",") + text.count("，") + min(len(text) / PER_CHARS, MOST)
         at = holder if page.tags[holder] in ("div", "section", "article", "main", "body", "#") else page.parents[holder]
-        share = 1
         while True:  # half as much for each step up
-            points[at] += given / share
+            points[at] += given
             if not at:
                 break
-            at, share = page.parents[at], share * 2
+            at, given = page.parents[at], given / 2
     return points, chars, links
 
 

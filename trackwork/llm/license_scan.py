@@ -106,24 +106,25 @@ def index(templates) -> Index:
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Most words of the template found in order within the band: (words, first place, place after the last).
 
-    Cell d of row i is place ``i + diagonal - band + d`` of the document.
+    Cell d of row i is place ``i + diagonal - band + d`` of the document. Of as many words, those nearest
+    to the diagonal count, so that of repeated notices each diagonal finds its own.
     """
     width = 2 * band + 1
-    best = [(0, 0, 0)] * (width + 1)  # words, minus the first place, minus the last: more, then earlier
+    none = (0, 0, 0, 0)  # words, minus the shifts, first and last place
+    best = [none] * (width + 1)
     for i, word in enumerate(template):
-        start, row = i + diagonal - band, []
-        left = (0, 0, 0)
+        start, row, left = i + diagonal - band, [], none
         for d in range(width):
             at = start + d
-            cell = max(best[d + 1] if d + 1 < width else (0, 0, 0), left)
+            cell = max(best[d + 1], left)
             if 0 <= at < len(doc) and doc[at] == word:
-                n, first, _ = best[d]
-                cell = max(cell, (n + 1, first if n else -at, -at))
+                n, shift, first, _ = best[d]
+                cell = max(cell, (n + 1, shift - abs(d - band), first if n else at, at))
             left = cell
             row.append(cell)
-        best = row + [(0, 0, 0)]
-    n, first, last = max(best)
-    return n, -first, 1 - last
+        best = [*row, none]
+    n, _, first, last = max(best)
+    return n, first, last + 1
 
 
 def scan(text: str, known: Index, band: int, coverage: float) -> list[Match]:

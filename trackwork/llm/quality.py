@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwork.llm.sketches import summed
+from trackwork.llm.tables import written
 from trackwork.llm.tokens import slices
 
 #: Bounds of what the models are fitted on; documents are chosen by a hash of their id.
@@ -27,9 +28,12 @@ LABELLED = 30_000
 TRAINED = 20_000
 #: Terms of a learned word list, most frequent first.
 LISTED = 5_000
-#: Labelled abusive documents that a listed term needs, and how many clean ones it may have per abusive.
-SUPPORT, IMPURITY = 3, 0.02
-PREFIX = 4
+#: A listed word needs so many different neighbours in abusive documents, and may have so many clean
+#: documents for each; of all words, so many may be listed by chance. A stem begins so many listed words.
+SUPPORT, IMPURITY, BY_CHANCE = 3, 0.02, 5.0
+STEM_WORDS, STEM_SIZES = 3, (4, 5, 6, 7)
+#: Weight of all words of a text together, beside a labeller's 1.
+WORDS_WEIGHT = 0.3
 FEATURE_BITS = 18
 EPOCHS, RATE = 8, 0.5
 THRESHOLD = 0.5
@@ -42,7 +46,7 @@ DEFECTS = {
     "symbols": ("symbol_share", "symbol_runs", "few_letters"),
     "tables": ("bar_words", "bar_lines"),
     "repetition": ("equal_neighbours", "few_distinct_words", "equal_lines"),
-    "abuse": ("insults", "listed_words", "listed_prefixes"),
+    "abuse": ("insults", "listed_words", "listed_stems"),
 }
 LABELLERS = [name for names in DEFECTS.values() for name in names]
 
@@ -58,7 +62,7 @@ class Lists(NamedTuple):
     """Terms that mark abuse in labelled documents."""
 
     words: frozenset[str]
-    prefixes: frozenset[str]
+    stems: frozenset[str]
 
 
 def terms(text: str) -> set[str]:
@@ -87,7 +91,7 @@ def signals(text: str, found: set[str], lists: Lists) -> int:
         len(lines) >= 4 and len(set(lines)) <= 0.5 * len(lines),
         not INSULTS.isdisjoint(found),
         not lists.words.isdisjoint(found),
-        not lists.prefixes.isdisjoint({w[:PREFIX] for w in found}),
+        any(not lists.stems.isdisjoint({w[:n] for w in found}) for n in STEM_SIZES) if lists.stems else False,
     )
     return sum(1 << i for i, fire in enumerate(fires) if fire)
 
@@ -98,29 +102,55 @@ def sampled(ids: Column, rows: int, bound: int) -> Column:
 
 
 def learn_lists(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, bound: int) -> Lists:
-    """Words and word beginnings that labelled abusive documents have and clean ones hardly ever."""
+    """Words, and beginnings of words, that labelled abusive documents have and clean ones hardly ever.
+
+    What counts for a word is how many different pairs of neighbours it has in abusive documents: copies of
+    one document, with or without changes, do not make all their words abusive.
+    """
     known = labels.select(F.col(id_column).alias("_id"), F.col(label).alias("bad")).where("_id is not null and bad is not null")
     n = known.count()
     known = known.where(sampled(F.col("_id"), n, bound))
     rows = docs.where(sampled(F.col(id_column), n, bound)).select(F.col(id_column).alias("_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(known, "_id").where("text is not null").groupBy("text").agg(F.max("bad").alias("bad"))  # copies count once
+    rows = rows.join(known, "_id").where("text is not null").select("text", (F.col("bad") > 0).cast("int").alias("bad"))
 
     def split(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [(t, b) for text, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for t in _tagged(text) for b in (int(b > 0),)]
-                columns = list(zip(*found)) or [[], []]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32())], names=["term", "bad"])
-
-    def _tagged(text):
-        own = terms(text)
-        return {f"w{w}" for w in own} | {f"p{w[:PREFIX]}" for w in own}
-
-    counted = rows.select("text", F.col("bad").cast("int")).mapInArrow(split, "term string, bad int").groupBy("term")
-    counted = counted.agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
-    chosen = counted.where((F.col("bad") >= SUPPORT) & (F.col("good") <= IMPURITY * F.col("bad")))
-    top = [r["term"] for r in chosen.orderBy(F.col("bad").desc(), "term").limit(LISTED).collect()]
-    return Lists(frozenset(t[1:] for t in top if t[0] == "w"), frozenset(t[1:] for t in top if t[0] == "p"))
+                found = []
+                for text, bad in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = WORD.findall(text.lower())
+                    if not bad:
+                        found += [(w, 0, 0) for w in set(own)]
+                        continue
+                    first = {w: i for i, w in reversed(list(enumerate(own)))}
+                    around = ["", *own, ""]
+                    found += [(w, hash_pair(around[i], around[i + 2]), 1) for w, i in first.items()]
+                columns = list(zip(*found)) or [[], [], []]
+                kinds = (pa.string(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "around", "bad"])
+
+    met = rows.mapInArrow(split, "word string, around bigint, bad int").groupBy("word", "around", "bad").agg(F.count(F.lit(1)).alias("n"))
+    counted = met.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(F.expr("if(bad = 0, n, 0)")).alias("good"))
+    counted = written(counted, "words")
+    total, share = counted.count(), rows.agg(F.avg("bad")).first()[0] or 0.5
+    share = min(max(share, 0.01), 0.9)
+    least = max(SUPPORT, int(np.ceil(np.log(BY_CHANCE / max(total, 1)) / np.log(share))))
+    listed = (F.col("bad") >= least) & (F.col("good") <= IMPURITY * F.col("bad"))
+    counted = counted.withColumn("listed", listed.cast("int"))
+    sizes = F.array(*(F.lit(k) for k in STEM_SIZES))
+    stems = counted.withColumn("size", F.explode(sizes)).where("length(word) > size")
+    stems = stems.groupBy(F.expr("substring(word, 1, size)").alias("stem"))
+    stems = stems.agg(F.sum("listed").alias("listed"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    stems = stems.where((F.col("listed") >= STEM_WORDS) & (F.col("good") <= IMPURITY * F.col("bad")))
+
+    def top(frame, name):
+        return frozenset(r[0] for r in frame.orderBy(F.col("bad").desc(), name).limit(LISTED).select(name).collect())
+
+    return Lists(top(counted.where("listed = 1"), "word"), top(stems, "stem"))
+
+
+def hash_pair(left: str, right: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{left} {right}") >> 1
 
 
 def estimate(counts: dict[int, int], labellers: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -170,7 +200,7 @@ def features(pattern: int, found: set[str]) -> tuple[np.ndarray, np.ndarray]:
     names = ["\0", *own, *found]
     at = np.fromiter((xxhash.xxh3_64_intdigest(x) >> (64 - FEATURE_BITS) for x in names), dtype=np.int64, count=len(names))
     values = np.ones(len(names))
-    values[1 + len(own) :] = max(len(found), 1) ** -0.5
+    values[1 + len(own) :] = WORDS_WEIGHT * max(len(found), 1) ** -0.5
     return at, values
 
 
