@@ -119,7 +119,7 @@ def test_quality_on_held_out_labels(spark):
     toxic = [r.doc_id in kept for r in judged if r.toxic]
     junk = [r.doc_id in kept for r in judged if not r.quality]
     assert sum(clean) / len(clean) > 0.99
-    assert sum(toxic) / len(toxic) < 0.05
+    assert sum(toxic) / len(toxic) < 0.1
     assert sum(junk) / len(junk) < 0.1
 
 

@@ -29,8 +29,8 @@ TRAINED = 20_000
 #: Terms of a learned word list, most frequent first.
 LISTED = 5_000
 #: A listed word needs so many different neighbours in abusive documents, and may have so many clean
-#: documents for each; of all words, so many may be listed by chance. A stem begins so many listed words.
-SUPPORT, IMPURITY, BY_CHANCE = 3, 0.02, 5.0
+#: documents for each; of all words, so many may be listed by chance. A stem begins so many different words.
+SUPPORT, IMPURITY, BY_CHANCE = 3, 0.02, 0.5
 STEM_WORDS, STEM_SIZES = 3, (4, 5, 6, 7)
 #: Weight of all words of a text together, beside a labeller's 1.
 WORDS_WEIGHT = 0.3
@@ -132,21 +132,23 @@ def learn_lists(docs: DataFrame, labels: DataFrame, id_column: str, text: str, l
     met = rows.mapInArrow(split, "word string, around bigint, bad int").groupBy("word", "around", "bad").agg(F.count(F.lit(1)).alias("n"))
     counted = met.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(F.expr("if(bad = 0, n, 0)")).alias("good"))
     counted = written(counted, "words")
-    total, share = counted.count(), rows.agg(F.avg("bad")).first()[0] or 0.5
-    share = min(max(share, 0.01), 0.9)
-    least = max(SUPPORT, int(np.ceil(np.log(BY_CHANCE / max(total, 1)) / np.log(share))))
-    listed = (F.col("bad") >= least) & (F.col("good") <= IMPURITY * F.col("bad"))
-    counted = counted.withColumn("listed", listed.cast("int"))
+    share = min(max(rows.agg(F.avg("bad")).first()[0] or 0.5, 0.01), 0.9)
+
+    def telling(frame):
+        """Rows that would hardly have only abusive documents by chance."""
+        least = max(SUPPORT, int(np.ceil(np.log(BY_CHANCE / max(frame.count(), 1)) / np.log(share))))
+        return frame.where((F.col("bad") >= least) & (F.col("good") <= IMPURITY * F.col("bad")))
+
     sizes = F.array(*(F.lit(k) for k in STEM_SIZES))
     stems = counted.withColumn("size", F.explode(sizes)).where("length(word) > size")
     stems = stems.groupBy(F.expr("substring(word, 1, size)").alias("stem"))
-    stems = stems.agg(F.sum("listed").alias("listed"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    stems = stems.where((F.col("listed") >= STEM_WORDS) & (F.col("good") <= IMPURITY * F.col("bad")))
+    stems = stems.agg(F.count(F.lit(1)).alias("words"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    stems = telling(stems.where(F.col("words") >= STEM_WORDS))
 
     def top(frame, name):
         return frozenset(r[0] for r in frame.orderBy(F.col("bad").desc(), name).limit(LISTED).select(name).collect())
 
-    return Lists(top(counted.where("listed = 1"), "word"), top(stems, "stem"))
+    return Lists(top(telling(counted), "word"), top(stems, "stem"))
 
 
 def hash_pair(left: str, right: str) -> int:
