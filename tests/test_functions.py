@@ -137,3 +137,17 @@ def test_vectors(spark):
     assert one(spark, vectors.inner_product(a, a)) == 25.0
     assert one(spark, vectors.l2_normalize(a)) == [0.6, 0.8]
     assert one(spark, vectors.l2_normalize(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
+
+
+def test_long_numbers_are_no_train(spark):
+    labels = ["12345", "123456", "160000 E", "9876543210", "16609/11", "x(4411)y", "123", "00123456 / 20518"]
+    assert over(spark, labels, cleaning.train_number) == ["12345", None, None, None, "16609", "4411", None, "20518"]
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    df = spark.range(20_000).selectExpr("id % 7 AS k", "(id * 37 % 1000) * 0.1 + id * 1e-4 AS v")
+    means = [
+        {r.k: r.m for r in df.repartition(n, "v").sortWithinPartitions("v" if n % 2 else "k").groupBy("k").agg(cleaning.exact_mean(F.col("v")).alias("m")).collect()}
+        for n in (1, 4, 7)
+    ]
+    assert means[0] == means[1] == means[2]

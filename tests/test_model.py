@@ -106,10 +106,17 @@ def test_attributions_add_up(fitted):
     assert unused == pytest.approx(0, abs=1e-9)
 
 
-def test_background_is_bounded(fitted):
+def test_any_number_of_background_rows(fitted, monkeypatch):
     trees, train, test = fitted
+    sample = features.capped(test, 3, ("train_no", "stop_seq")).withColumn("row_id", F.col("stop_seq"))
+    background = features.capped(train, 8, ("train_no", "stop_seq"))
+    sent = rows(explain.attribute(trees, sample, background))
+    monkeypatch.setattr(explain, "SENT_BACKGROUND", 2)
+    joined = rows(explain.attribute(trees, sample, background))
+    assert [r[0] for r in sent] == [r[0] for r in joined]
+    assert [r[-1] for r in sent] == pytest.approx([r[-1] for r in joined])
     with pytest.raises(ValueError):
-        explain.attribute(trees, test, train)
+        explain.attribute(trees, sample, background.limit(0))
 
 
 def test_rule_views(spark):

@@ -102,3 +102,11 @@ def test_sequence_by(spark):
     for hot_rows in (1, 100):
         out = schedule.sequence_by(df, "train_no", "sno", hot_rows=hot_rows)
         assert rows(out, "train_no", "sno", "stop_seq") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("hot_rows", [2, 1000])
+def test_sequence_by_text(spark, hot_rows):
+    clocks = ["10:30", "08:10", None, "09:20", "7"]
+    df = spark.createDataFrame([(9 - i, "a", c) for i, c in enumerate(clocks)], "id int, key string, clock string")
+    out = {r.clock: r.stop_seq for r in schedule.sequence_by(df, "key", "clock", hot_rows=hot_rows).collect()}
+    assert out == {None: 1, "08:10": 2, "09:20": 3, "10:30": 4, "7": 5}

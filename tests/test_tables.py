@@ -130,3 +130,13 @@ def test_scratch_paths_are_new_and_shared(spark):
     assert folder == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert scratch_path(spark, "x").startswith(folder)
+
+
+def test_snapshots_with_null_keys_and_other_columns(spark):
+    old = spark.createDataFrame([(None, 1, "x"), (1, 2, "y"), (2, 3, "z")], "k int, v int, gone string")
+    new = spark.createDataFrame([(None, 1), (1, 5), (3, None)], "k int, v int")
+    kinds = {r.k: r._change_type for r in diff.snapshot_diff(old.drop("gone"), new, ["k"]).collect()}
+    assert kinds == {1: "update", 2: "delete", 3: "insert"}
+    out = diff.snapshot_diff(old, new, ["k"])
+    assert out.columns == ["k", "v", "gone", "_change_type"]
+    assert {r.k: (r.gone, r._change_type) for r in out.collect()} == {None: (None, "update"), 1: (None, "update"), 2: ("z", "delete"), 3: (None, "insert")}

@@ -60,6 +60,11 @@ def minutes(clock: str, day: str) -> str:
     )
 
 
+def mean(column: str) -> str:
+    """A mean that does not depend on the order of rows."""
+    return f"sum(({column})::DECIMAL(28,8))::DOUBLE / count({column})"
+
+
 def peak(hour: str, spans) -> str:
     hits = " OR ".join(f"{hour} BETWEEN {a} AND {b}" for a, b in spans)
     return f"CASE WHEN {hits} THEN 1 ELSE 0 END"
@@ -123,10 +128,11 @@ CTES = {
         FROM events""",
     "air_wide": "SELECT city, obs_date, latitude, longitude, "
     + ", ".join(
-        f"avg(CASE WHEN pollutant_id = '{p}' THEN reading END) AS {c}" for p, c in fv.POLLUTANTS.items()
+        f"{mean(f"CASE WHEN pollutant_id = '{p}' THEN reading END")} AS {c}" for p, c in fv.POLLUTANTS.items()
     )
     + " FROM air_long GROUP BY ALL",
-    "city_air": "SELECT city, avg(pm25) AS pm25, avg(no2) AS no2, avg(pm10) AS pm10 FROM air_wide GROUP BY city",
+    "city_air": f"""
+        SELECT city, {mean("pm25")} AS pm25, {mean("no2")} AS no2, {mean("pm10")} AS pm10 FROM air_wide GROUP BY city""",
     "enriched": f"""
         SELECT s.*, t.train_type, t.zone AS train_zone, t.total_distance_km, t.duration_hours, t.has_sleeper,
                st.state, coalesce(st.zone, t.zone) AS zone, st.latitude, st.longitude, upper(s.station_name) AS city,
@@ -185,6 +191,17 @@ CTES = {
         WHERE rank <= 15""",
     "affected": """
         SELECT * EXCLUDE (delay_min) FROM hop1 UNION ALL BY NAME SELECT * FROM hop2""",
+    "near_calls": """
+        SELECT source_train, source_station, e.train_no FROM located
+        JOIN edges e ON e.station_code = source_station AND e.train_no <> source_train
+            AND abs(e.scheduled_hour - hour) <= 2""",
+    "both_hops": """
+        SELECT source_train, source_station, 1 AS hop, count(*) AS n FROM near_calls GROUP BY ALL
+        UNION ALL
+        SELECT source_train, source_station, 2, count(*)
+        FROM (SELECT DISTINCT * FROM near_calls) t
+        JOIN edges e ON e.train_no = t.train_no AND e.station_code <> source_station
+        GROUP BY ALL""",
     "short1": """
         SELECT * FROM (
             SELECT source_train, source_station, e.train_no, e.station_code, e.scheduled_hour, delay_min, hour AS source_hour,
@@ -257,10 +274,10 @@ CTES = {
         GROUP BY label""",
     "hits": """
         SELECT * FROM (
-            SELECT query_id, chunk_id, score,
+            SELECT query_id, chunk_id, round(score, 6) AS score,
                    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
             FROM (SELECT query_id, vec_id AS chunk_id,
-                         round(list_cosine_similarity(vector, list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score
+                         list_cosine_similarity(vector, list_transform(embedding, lambda x: x::DOUBLE)) AS score
                   FROM centroids CROSS JOIN embeddings))
         WHERE rank <= 4""",
     "cited": """
@@ -385,7 +402,7 @@ STATEMENTS = {
         FROM air_wide WHERE pm25 IS NOT NULL GROUP BY city ORDER BY avg_pm25 DESC, city LIMIT 15""",
     "zone_state_pm25": "SELECT z AS zone, s AS state_for_aq, round(state_pm25, 4) AS state_pm25 FROM (VALUES "
     + ", ".join(f"('{z}', '{s}')" for z, s in fv.ZONE_STATES)
-    + """) m(z, s) LEFT JOIN (SELECT state, avg(reading) AS state_pm25 FROM air_long
+    + f""") m(z, s) LEFT JOIN (SELECT state, {mean("reading")} AS state_pm25 FROM air_long
            WHERE pollutant_id = 'PM2.5' GROUP BY state) ON state = s""",
     "delay_labels": """
         SELECT train_no, stop_seq, fog_factor, type_factor, round(stop_factor, 6) AS stop_factor, peak_factor,
@@ -532,9 +549,9 @@ STATEMENTS = {
     "cascade_hop1": "SELECT * EXCLUDE (delay_min) REPLACE (rank::INT AS rank) FROM hop1",
     "cascade_hop2": "SELECT * REPLACE (rank::INT AS rank) FROM hop2",
     "cascade_summary": """
-        SELECT source_train, source_station, count(*) AS total_affected, count(*) FILTER (hop = 1) AS hop1_count,
-               count(*) FILTER (hop = 2) AS hop2_count
-        FROM affected GROUP BY ALL""",
+        SELECT source_train, source_station, sum(n)::BIGINT AS total_affected,
+               coalesce(sum(n) FILTER (hop = 1), 0)::BIGINT AS hop1_count, coalesce(sum(n) FILTER (hop = 2), 0)::BIGINT AS hop2_count
+        FROM both_hops GROUP BY ALL""",
     "cascade_wrapped": """
         SELECT scheduled_hour, count(*) AS stops, round(sum(d), 1) AS delay
         FROM (SELECT e.scheduled_hour, round(delay_min * 0.6::DOUBLE, 1) AS d,
@@ -563,8 +580,11 @@ STATEMENTS = {
     "section_preview": f"""
         SELECT page, section, substr(text, 1, 200) AS preview, chunk_id FROM chunked
         WHERE list_contains({sql_list(fv.RIGHTS_SECTIONS)}, section) ORDER BY page, chunk_id LIMIT 10""",
+    "section_preview_source": f"""
+        SELECT page, section, substr(text, 1, 200) AS preview, chunk_id FROM chunked
+        WHERE list_contains({sql_list(fv.RIGHTS_SECTIONS)}, section) AND source = 'src19' ORDER BY page, chunk_id LIMIT 10""",
     "keyword_chunks": f"""
-        SELECT chunk_id, substr(text, 1, 180) AS preview FROM chunked
+        SELECT chunk_id, text FROM chunked
         WHERE regexp_matches(text, '{fv.RIGHTS_WORDS}')""",
     "keyword_preview": f"""
         SELECT source, page, coalesce(section, '') AS section, substr(text, 1, 180) AS preview, chunk_id FROM chunked
@@ -586,9 +606,8 @@ STATEMENTS = {
         LEFT JOIN contexts c ON c.query_id = q.query_id""",
     "messy_clocks": MESSY_CLOCK,
     "train_numbers": """
-        SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN ''
-                                ELSE substr((o_orderkey + 10000)::VARCHAR, 1, 5) END AS train_no
-        FROM orders""",
+        SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 OR key > 99999 THEN '' ELSE key::VARCHAR END AS train_no
+        FROM (SELECT o_orderkey, (o_orderkey + 10000) * CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 1 END AS key FROM orders)""",
     "csv_air_ingest": """
         SELECT city, count(*) AS days, round(avg(pm25), 4) AS pm25, round(avg(no2), 4) AS no2
         FROM air_wide GROUP BY city""",
@@ -604,7 +623,7 @@ STATEMENTS = {
                coalesce(sum(d)::BIGINT, -1) AS departures, count(*) AS lineage
         FROM (
             SELECT CASE sheet WHEN 0 THEN '' WHEN 1 THEN 'Daily, all' ELSE 'Monday, Sunday' END AS days,
-                   CASE WHEN length(train_number) >= 4 THEN substr(train_number, 1, 5) END AS train_no,
+                   CASE WHEN length(train_number) BETWEEN 4 AND 5 THEN train_number END AS train_no,
                    train_name, CASE WHEN sheet = 1 THEN station_name END AS origin,
                    CASE WHEN sheet <> 0 THEN try_cast(split_part(arrival, ':', 1) AS INT) * 60
                         + try_cast(split_part(arrival, ':', 2) AS INT) END AS a,
@@ -616,6 +635,18 @@ STATEMENTS = {
         SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*) AS runs,
                min(o_orderdate::DATE)::VARCHAR AS first_run
         FROM orders GROUP BY ALL""",
+    "layer_counts": """
+        SELECT 'bronze' AS name, count(*) AS n FROM schedules UNION ALL SELECT 'silver', count(*) FROM stops
+        UNION ALL SELECT 'gold', count(*) FROM labelled""",
+    "sql_views": """
+        SELECT t.zone, count(*) AS stops, count(DISTINCT s.train_no) AS trains, max(s.total_stops) AS longest
+        FROM stops s JOIN trains t ON s.train_no = t.train_no GROUP BY t.zone""",
+    "model_score_checks": f"""
+        SELECT train_no, stop_seq, round(arrival_delay_min, 5) AS actual, 1 AS in_range
+        FROM labelled WHERE {md5_int(KEYED_42, 2)} % 100 >= 80""",
+    "model_attribution_checks": f"""
+        SELECT least(count(*), {fv.EXPLAIN_ROWS}) AS rows_explained, 0 AS rows_off FROM labelled
+        WHERE {md5_int(KEYED_42, 2)} % 100 >= 80 AND {md5_int(KEYED_42, 3)} < {int(fv.EXPLAIN_FRACTION * 2**32)}""",
     "partitioned_by_zone": """
         SELECT coalesce(zone, '') AS zone, count(*) AS stops, round(avg(arrival_delay_min), 3) AS avg_delay
         FROM labelled GROUP BY ALL""",

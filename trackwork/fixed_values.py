@@ -125,7 +125,6 @@ REQUEST_FREQUENCY = 100
 
 # Sampling and boosting sizes.
 TRAIN_ROWS = 150_000
-TEST_ROWS = 50_000
 MAJOR_DELAY_MIN = 30
 SCATTER_ROWS = 2000
 EXPLAIN_FRACTION = 0.005

@@ -18,14 +18,23 @@ def number(column: Column) -> Column:
     return column.try_cast("double")
 
 
+def exact_mean(column: Column) -> Column:
+    """The mean of a group, the same whatever the order of its rows.
+
+    Sums of doubles depend on the order in which tasks add them, and a mean on a threshold would then
+    change with the partitioning. Decimals add up exactly, and the quotient is taken once.
+    """
+    return F.try_divide(F.sum(column.cast("decimal(28,8)")).cast("double"), F.count(column))
+
+
 def strip(column: Column) -> Column:
     """Text without white space at either end."""
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
 def train_number(column: Column) -> Column:
-    """The first run of four or five digits in a messy train label."""
-    return F.get(F.regexp_extract_all(column, F.lit(r"(\d{4,5})"), F.lit(1)), F.lit(0))
+    """The first whole number of four or five digits in a messy train label; longer numbers are none."""
+    return F.get(F.regexp_extract_all(column, F.lit(r"(?<!\d)(\d{4,5})(?!\d)"), F.lit(1)), F.lit(0))
 
 
 def clean_name(name: str | None) -> str:

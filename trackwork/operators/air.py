@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwork import fixed_values as fv
-from trackwork.functions.cleaning import null_if, number
+from trackwork.functions.cleaning import exact_mean, null_if, number
 
 
 def clean_air(air_long: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def pivot_air(air_long: DataFrame) -> DataFrame:
         clean_air(air_long)
         .groupBy("city", "obs_date", "latitude", "longitude")
         .pivot("pollutant_id", list(fv.POLLUTANTS))
-        .agg(F.avg("reading"))
+        .agg(exact_mean(F.col("reading")))
         .withColumnsRenamed(fv.POLLUTANTS)
     )
 
@@ -36,7 +36,7 @@ def pivot_air(air_long: DataFrame) -> DataFrame:
 def city_air(air_wide: DataFrame) -> DataFrame:
     """Mean readings per city, so that a join on city keeps the row count."""
     return air_wide.groupBy(F.upper("city").alias("city")).agg(
-        *(F.avg(c).alias(c) for c in fv.AIR_DEFAULTS)
+        *(exact_mean(F.col(c)).alias(c) for c in fv.AIR_DEFAULTS)
     )
 
 
@@ -50,6 +50,6 @@ def zone_air(zones: DataFrame, air_long: DataFrame) -> DataFrame:
         clean_air(air_long)
         .where(F.col("pollutant_id") == "PM2.5")
         .groupBy(F.upper(F.trim("state")).alias("state_for_aq"))
-        .agg(F.avg("reading").alias("state_pm25"))
+        .agg(exact_mean(F.col("reading")).alias("state_pm25"))
     )
     return zones.join(state_pm25, "state_for_aq", "left").select("zone", "state_for_aq", "state_pm25")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from trackwork.operators.skew import top_per_group
 
-MAX_BACKGROUND = 200
+#: Background rows up to which a copy goes to every task; more are joined by number.
+SENT_BACKGROUND = 200
 
 
 def attribute(
@@ -29,9 +30,9 @@ def attribute(
     encode = PipelineModel(model.stages[:-1])
     names = model.stages[-2].getInputCols()
     width = len(names)
-    n_background = background.limit(MAX_BACKGROUND + 1).count()
-    if not 0 < n_background <= MAX_BACKGROUND:
-        raise ValueError(f"background needs 1 to {MAX_BACKGROUND} rows")
+    n_background = background.count()
+    if not n_background:
+        raise ValueError("background needs a row at least")
 
     base = encode.transform(background).select(vector_to_array("features").alias("_z"))
     base = base.withColumn("_b", F.row_number().over(Window.orderBy("_z")) - 1)
@@ -40,7 +41,7 @@ def attribute(
         .select(row_id, vector_to_array("features").alias("_x"))
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_background - 1))))
         .withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .join(F.broadcast(base), "_b")  # at most MAX_BACKGROUND rows, counted above
+        .join(F.broadcast(base) if n_background <= SENT_BACKGROUND else base, "_b")
     )
     features = F.sequence(F.lit(0), F.lit(width - 1))
     keyed = F.transform(

@@ -68,8 +68,8 @@ def hash_split(df: DataFrame, key_cols=("train_no", "stop_seq"), pct: int = 80,
 
 
 def date_split(df: DataFrame, date_col: str, first_test_day):
-    """(train, test) with every test row on or after a day."""
-    later = F.col(date_col) >= F.lit(first_test_day)
+    """(train, test) with every test row on or after a day; rows without a date are for training."""
+    later = F.coalesce(F.col(date_col) >= F.lit(first_test_day), F.lit(False))
     return df.where(~later), df.where(later)
 
 

@@ -83,16 +83,19 @@ def schedule_features(
 def sequence_by(
     df: DataFrame, key: str, order: str, name: str = "stop_seq", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """1-based position within the key by a numeric order column, unreadable values first."""
+    """1-based position within the key by an order column.
+
+    Numbers go by value; what is no number comes before them, by its text, nulls first.
+    """
     lowest = F.lit(float("-inf"))
     lead = F.coalesce(F.nanvl(F.col(order).try_cast("double"), lowest), lowest)
     block = F.floor(F.greatest(lead, F.lit(-1e12)) / 4096)
-    rest = [c for c in df.columns if c != key]
+    rest = [c for c in df.columns if c not in (key, order)]
     numbered = number_rows(
         df.withColumns({"_lead": lead, "_block": block}),
         key,
-        ["_lead", *rest],
-        levels=["_block", "_lead", rest[0]],
+        ["_lead", order, *rest],
+        levels=["_block", "_lead", order],
         position=name,
         hot_rows=hot_rows,
     )

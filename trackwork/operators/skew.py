@@ -87,7 +87,10 @@ def number_rows(
     """
     columns = [c for c in df.columns if c in order or c not in levels]
     sorting = [F.col(c).asc_nulls_first() for c in order]
-    ordinary, hot = split_hot(df, [key], hot_rows, census)
+    # A key cannot have more rows than the table; where that is few, the plan has no hot branch.
+    counted = df if census is None else census
+    some_hot = counted.count() > hot_rows
+    ordinary, hot = split_hot(df, [key], hot_rows, census) if some_hot else (df, None)
 
     whole = Window.partitionBy(key)
     extras = {}
@@ -97,7 +100,9 @@ def number_rows(
         extras[first] = F.min(order[0]).over(whole)
     ordinary = ordinary.withColumns(
         {position: (F.row_number().over(whole.orderBy(*sorting)) - 1).cast("long"), **extras}
-    )
+    ).select(*columns, position, *extras)
+    if not some_hot:
+        return ordinary
 
     copies = hot.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     start = _level_starts(copies, key, order[0], levels)
@@ -112,7 +117,7 @@ def number_rows(
     placed = expand(placed, "_copies", "_i").withColumn(position, F.col("_start") + F.col("_i"))
     names = {size: "_size", first: "_first"}
     extras = [F.col(names[c]).alias(c) for c in (size, first) if c]
-    return ordinary.select(*columns, position, *(c for c in (size, first) if c)).unionByName(
+    return ordinary.unionByName(
         placed.select(*columns, position, *extras)
     )
 
@@ -174,22 +179,17 @@ def smallest_by_hash(df: DataFrame, key: Column, caps: list[tuple[Column, int]],
     return copies.withColumn("_i", F.explode(F.sequence(F.lit(1), "_take"))).select(*columns)
 
 
-def value_counts(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values of a column with their row counts."""
-    known = df.where(F.col(value).isNotNull())
-    return known.groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-
-
 def exact_percentiles(
-    counted: DataFrame, probabilities: dict[str, float], low: float, high: float, bins: int = 1 << 20
+    df: DataFrame, column: str, probabilities: dict[str, float], low: float, high: float, bins: int = 1 << 20
 ) -> DataFrame:
-    """Interpolated percentiles of counted values as one row, named by ``probabilities``.
+    """Interpolated percentiles of a column as one row, named by ``probabilities``.
 
-    A histogram over ``[low, high]`` (values outside it fall in the end bins) finds the bins
-    that hold the wanted ranks, and only those are ordered.
+    A histogram over ``[low, high]`` (values outside it fall in the end bins) finds the bins that
+    hold the wanted ranks. Rows never move to be counted; a second scan takes those bins alone.
     """
-    values = counted.withColumn("_bin", F.width_bucket("_v", F.lit(low), F.lit(high), F.lit(bins)))
-    counts = values.groupBy("_bin").agg(F.sum("_n").alias("_bin_n"))
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
+    values = values.withColumn("_bin", F.width_bucket("_v", F.lit(low), F.lit(high), F.lit(bins)))
+    counts = values.groupBy("_bin").agg(F.count(F.lit(1)).alias("_bin_n"))
     upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     counts = counts.withColumns(
@@ -210,7 +210,8 @@ def exact_percentiles(
     )
     chosen = F.broadcast(counts.where(holds))  # at most two bins per probability
     order = Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = values.join(chosen, "_bin").withColumn(
+    few = values.join(chosen, "_bin").groupBy("_bin", "_before", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = few.withColumn(
         "_from", F.col("_before") + F.coalesce(F.sum("_n").over(order), F.lit(0))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackwork import fixed_values as fv
-from trackwork.operators.skew import exact_percentiles, value_counts
+from trackwork.operators.skew import exact_percentiles
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9}
 
@@ -16,10 +16,9 @@ def delay_distribution(labelled: DataFrame, column: str = "arrival_delay_min", a
     if approx:
         points = [F.round(F.percentile_approx(column, p), 1).alias(n) for n, p in PERCENTILES.items()]
         return labelled.agg(*points, *_shares(F.col(column), F.lit(1)))
-    counted = value_counts(labelled, column)
-    points = exact_percentiles(counted, PERCENTILES, 0.0, fv.MAX_DELAY_MIN)
+    points = exact_percentiles(labelled, column, PERCENTILES, 0.0, fv.MAX_DELAY_MIN)
     rows = points.withColumns({n: F.round(n, 1) for n in PERCENTILES}).unionByName(
-        counted.agg(*_shares(F.col("_v"), F.col("_n"))), allowMissingColumns=True
+        labelled.where(F.col(column).isNotNull()).agg(*_shares(F.col(column), F.lit(1))), allowMissingColumns=True
     )
     return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 

@@ -16,16 +16,21 @@ def rounded_mean(column: str, digits: int = 1):
 
 
 def feature_ranges(features: DataFrame) -> DataFrame:
-    return features.agg(
+    """Counts and ranges in one row. Each distinct count is a plan of its own, so that rows are not copied."""
+    ranges = features.agg(
         F.count(F.lit(1)).alias("total_records"),
-        F.countDistinct("train_no").alias("unique_trains"),
-        F.countDistinct("station_code").alias("unique_stations"),
         F.round(F.avg("stop_seq"), 1).alias("avg_stop_seq"),
         F.max("total_stops").alias("max_stops"),
         F.round(F.avg("cumulative_travel_min"), 1).alias("avg_cumulative_min"),
         F.round(F.avg("dwell_min"), 2).alias("avg_dwell_min"),
         F.round(F.avg("pm25"), 1).alias("avg_pm25"),
     )
+    distinct = {"unique_trains": "train_no", "unique_stations": "station_code"}
+    for name, column in distinct.items():
+        counted = features.select(column).distinct().agg(F.count(column).alias(name))
+        ranges = ranges.unionByName(counted, allowMissingColumns=True)
+    order = ["total_records", *distinct, "avg_stop_seq", "max_stops", "avg_cumulative_min", "avg_dwell_min", "avg_pm25"]
+    return ranges.agg(*(F.max(c).alias(c) for c in order))
 
 
 def zone_pm25(features: DataFrame) -> DataFrame:

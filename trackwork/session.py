@@ -29,13 +29,13 @@ def build_session(app: str = "trackwork", master: str | None = None, **conf) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A temporary folder stands in for it in local mode only, where driver and
-    executors are one process.
+    Where it is unset, a temporary folder stands in for it, but only in local mode, where
+    driver and executors are one process.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="trackwork-")
     if context.getCheckpointDir() is None:

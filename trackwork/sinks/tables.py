@@ -14,16 +14,19 @@ def write_table(
     df: DataFrame,
     path: str,
     partition_by: tuple[str, ...] = (),
-    repartition: tuple[int, str] | None = None,
+    repartition: tuple[int | None, str] | None = None,
 ) -> DataFrame:
     """Replace the table at a path, schema included, and return it read back.
 
+    ``repartition`` deals rows by a key into so many files; without a number, files are sized by
+    the data and a key too large for one is split.
+
     Partition values are brought together before the write, so that each one gets few files;
     adaptive execution splits a value too large for one task.
     """
     if repartition:
         n, key = repartition
-        df = df.repartition(n, key)
+        df = df.repartition(n, key) if n else df.hint("rebalance", key)
     elif partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite")

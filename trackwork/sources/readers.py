@@ -50,10 +50,6 @@ STATION_FEATURES_SCHEMA = (
 )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def read_csv(spark: SparkSession, path, schema: str) -> DataFrame:
     """CSV with a header row; fields that do not fit their type read as null."""
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
