@@ -519,8 +519,8 @@ STATEMENTS = {
     "hash_split": f"""
         SELECT train_no, stop_seq, ({md5_int(KEYED_42, 2)} % 100 < 80)::INT AS is_train FROM stops""",
     "date_split": """
-        SELECT 'train' AS name, count(*) AS n FROM stops WHERE run_date < DATE '1998-01-01'
-        UNION ALL SELECT 'test', count(*) FROM stops WHERE run_date >= DATE '1998-01-01'""",
+        SELECT 'train' AS name, count(*) AS n FROM stops WHERE run_date < DATE '1998-01-01' OR stop_seq = 3
+        UNION ALL SELECT 'test', count(*) FROM stops WHERE run_date >= DATE '1998-01-01' AND stop_seq <> 3""",
     "stratified_sample": f"""
         SELECT train_no, stop_seq, round(arrival_delay_min, 5) AS arrival_delay_min
         FROM (SELECT *, row_number() OVER (PARTITION BY arrival_delay_min > 30
@@ -654,19 +654,24 @@ STATEMENTS = {
         SELECT station_code, count(*) AS stops, sum(cumulative_travel_min)::BIGINT AS travel_min
         FROM stops GROUP BY station_code""",
     "snapshot_diff": """
-        WITH after AS (
+        WITH before AS (SELECT nullif(o_orderkey, 1) AS o_orderkey, o_orderstatus, o_totalprice FROM orders),
+        after AS (
             SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' WHEN o_orderkey % 7 = 0 THEN NULL
                                     ELSE o_orderstatus END AS o_orderstatus, o_totalprice
-            FROM orders WHERE o_orderkey % 11 <> 0
-            UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 13 = 0)
+            FROM before WHERE o_orderkey IS NULL OR o_orderkey % 11 <> 0
+            UNION ALL SELECT -o_orderkey - 1, o_orderstatus, o_totalprice FROM before WHERE o_orderkey % 13 = 0)
         SELECT a.o_orderkey, coalesce(a.o_orderstatus, '') AS o_orderstatus, a.o_totalprice,
-               CASE WHEN b.o_orderkey IS NULL THEN 'insert' ELSE 'update' END AS _change_type
-        FROM after a LEFT JOIN orders b ON a.o_orderkey = b.o_orderkey
-        WHERE b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
+               CASE WHEN b.known IS NULL THEN 'insert' ELSE 'update' END AS _change_type
+        FROM after a LEFT JOIN (SELECT *, 1 AS known FROM before) b ON a.o_orderkey IS NOT DISTINCT FROM b.o_orderkey
+        WHERE b.known IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus
               OR a.o_totalprice IS DISTINCT FROM b.o_totalprice
         UNION ALL
-        SELECT o_orderkey, o_orderstatus, o_totalprice, 'delete' FROM orders b
-        WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.o_orderkey = b.o_orderkey)""",
+        SELECT o_orderkey, o_orderstatus, o_totalprice, 'delete' FROM before b
+        WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.o_orderkey IS NOT DISTINCT FROM b.o_orderkey)""",
+    "text_sequence": """
+        SELECT train_number, coalesce(departure, '') AS departure,
+               row_number() OVER (PARTITION BY train_number ORDER BY departure NULLS FIRST) AS stop_seq
+        FROM (SELECT train_number, nullif(departure, '--:--') AS departure FROM schedules)""",
 }
 
 ORACLE = {

@@ -422,7 +422,9 @@ def hash_split(spark, sf):
 
 @query
 def date_split(spark, sf):
-    train, test = features.date_split(stops(spark, sf), "run_date", F.lit("1998-01-01").cast("date"))
+    """Every fourth stop of a train has no date here."""
+    dated = stops(spark, sf).withColumn("run_date", F.when(F.col("stop_seq") != 3, F.col("run_date")))
+    train, test = features.date_split(dated, "run_date", F.lit("1998-01-01").cast("date"))
     counted = tables.row_counts(train=train, test=test)
     return counted
 
@@ -905,11 +907,20 @@ def clustered_lookup(spark, sf):
 
 @query
 def snapshot_diff(spark, sf):
-    """Orders against a later version with rows removed, added and changed."""
+    """Orders against a later version with rows removed, added and changed; one has no key in either."""
     old = st.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    old = old.withColumn("o_orderkey", F.nullif("o_orderkey", F.lit(1)))
     key = F.col("o_orderkey")
     status = F.when(key % 5 == 0, F.lit("X")).when(key % 7 == 0, F.lit(None)).otherwise(F.col("o_orderstatus"))
-    kept = old.where(key % 11 != 0).withColumn("o_orderstatus", status)
+    kept = old.where(F.coalesce(key % 11 != 0, F.lit(True))).withColumn("o_orderstatus", status)
     added = old.where(key % 13 == 0).withColumn("o_orderkey", -key - 1)
     out = diff.snapshot_diff(old, kept.unionByName(added), ["o_orderkey"])
     return out.fillna("", ["o_orderstatus"])
+
+
+@query
+def text_sequence(spark, sf):
+    """Stops of each train numbered by their departure text, unread and missing ones included."""
+    rows = st.schedules(spark, sf).select("train_number", F.nullif("departure", F.lit("--:--")).alias("departure"))
+    numbered = schedule.sequence_by(rows.where("train_number is not null"), "train_number", "departure")
+    return numbered.select("train_number", F.coalesce("departure", F.lit("")).alias("departure"), "stop_seq")
