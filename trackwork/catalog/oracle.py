@@ -70,6 +70,33 @@ def peak(hour: str, spans) -> str:
     return f"CASE WHEN {hits} THEN 1 ELSE 0 END"
 
 
+def word_counts(key: str, text: str, table: str) -> str:
+    """Words per hashed bucket of every text."""
+    return rf"""
+        SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n
+        FROM (SELECT {key}, unnest(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+')) AS w FROM {table})
+        WHERE w <> '' GROUP BY ALL"""
+
+
+def best_chunks(words: str, k: int) -> str:
+    """The k chunks of the highest cosine of word counts."""
+    return f"""
+        SELECT * FROM (
+            SELECT item_id AS query_id, chunk_id, round(score, 6) AS score,
+                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank
+            FROM (SELECT item_id, chunk_id, round(dot / (q.norm * c.norm), 12) AS score
+                  FROM (SELECT q.item_id, c.chunk_id, sum(q.n * c.n)::DOUBLE AS dot
+                        FROM {words} q JOIN chunk_words c USING (bucket) GROUP BY ALL)
+                  JOIN (SELECT item_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM {words} GROUP BY item_id) q USING (item_id)
+                  JOIN chunk_norms c USING (chunk_id)))
+        WHERE rank <= {k}"""
+
+
+EXCERPT = (
+    "'[Excerpt ' || rank || '] Source: ' || source_title || ', Section ' || coalesce(section, 'N/A') "
+    "|| ', Page ' || page || chr(10) || text || chr(10)"
+)
+
 # Common table expressions, in order of dependence.
 CTES = {
     "schedules": f"""
@@ -277,13 +304,20 @@ CTES = {
             SELECT query_id, chunk_id, round(score, 6) AS score,
                    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
             FROM (SELECT query_id, vec_id AS chunk_id,
-                         list_cosine_similarity(vector, list_transform(embedding, lambda x: x::DOUBLE)) AS score
+                         round(list_cosine_similarity(vector, list_transform(embedding, lambda x: x::DOUBLE)), 12) AS score
                   FROM centroids CROSS JOIN embeddings))
         WHERE rank <= 4""",
     "cited": """
         SELECT query_id, rank, source_title, coalesce(nullif(page % 7, 0)::VARCHAR, 'N/A') AS section, page,
                body AS text
         FROM hits JOIN (SELECT *, raw AS body FROM pages_of) ON chunk_id = page""",
+    "chunk_words": word_counts("chunk_id", "'passage: ' || text", "chunked"),
+    "chunk_norms": "SELECT chunk_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM chunk_words GROUP BY chunk_id",
+    "question_words": word_counts("item_id", "'query: ' || text", "benchmark"),
+    "question_hits": best_chunks("question_words", 4),
+    "first_said": "SELECT conv_id AS item_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id",
+    "said_words": word_counts("item_id", "'query: ' || text", "first_said"),
+    "said_hits": best_chunks("said_words", 2),
     "contexts": """
         SELECT query_id, string_agg('[Excerpt ' || rank || '] Source: ' || source_title || ', Section ' || section
                    || ', Page ' || page || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context
@@ -604,6 +638,18 @@ STATEMENTS = {
                coalesce(context, '{fv.NO_MATCH_ANSWER.replace("'", "''")}') AS context
         FROM (SELECT DISTINCT conv_id AS query_id FROM conversations) q
         LEFT JOIN contexts c ON c.query_id = q.query_id""",
+    "question_topk": "SELECT * FROM question_hits",
+    "question_context": f"""
+        SELECT query_id, string_agg({EXCERPT}, chr(10) ORDER BY rank) AS context,
+               string_agg(source_title || ', ' || coalesce(section, 'N/A') || ', ' || page, '; ' ORDER BY rank) AS citations
+        FROM question_hits JOIN chunked USING (chunk_id) GROUP BY query_id""",
+    "chat_fallback": f"""
+        SELECT item_id AS query_id, (context IS NOT NULL)::INT AS matched,
+               coalesce(context, '{fv.NO_MATCH_ANSWER.replace("'", "''")}') AS context
+        FROM first_said LEFT JOIN (
+            SELECT query_id, string_agg({EXCERPT}, chr(10) ORDER BY rank) AS context
+            FROM said_hits JOIN chunked USING (chunk_id) WHERE score >= 0.75 GROUP BY query_id)
+            ON query_id = item_id""",
     "messy_clocks": MESSY_CLOCK,
     "train_numbers": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 OR key > 99999 THEN '' ELSE key::VARCHAR END AS train_no

@@ -27,6 +27,8 @@ from trackwork.sinks import tables
 from trackwork.sources import layouts, readers
 
 QUERIES = {}
+#: Cosine of hashed words from which a chunk is about a question.
+NEAR_CHUNK = 0.75
 #: Boosting of the registered queries: the documented depth, fewer and larger steps than the 500 of the default.
 QUERY_TREES = {"maxIter": 20, "maxDepth": 6, "stepSize": 0.15}
 
@@ -608,13 +610,37 @@ def rag_fallback(spark, sf):
     return answered.select("query_id", F.col("matched").cast("int").alias("matched"), "context")
 
 
+def best_chunks(spark, sf, asked, k):
+    """The chunks nearest to each question (query_id, query_text), with their texts."""
+    found = once(spark, sf, "chunks", lambda: rule_chunks_of(spark, sf))
+    corpus = retrieval.embed(found).select("chunk_id", "vector")
+    hits = retrieval.top_k_similar(retrieval.embed(asked, "query_text", prefix="query: "), corpus, k)
+    return hits.join(found, "chunk_id")
+
+
 @query
 def question_topk(spark, sf):
     """Text retrieval end to end: questions and chunks embedded, then the four best chunks."""
-    found = rule_chunks_of(spark, sf)
-    corpus = retrieval.embed(found).select("chunk_id", "vector")
-    asked = retrieval.embed(st.questions(spark, sf), "query_text", prefix="query: ")
-    return retrieval.top_k_similar(asked, corpus, 4)
+    return best_chunks(spark, sf, st.questions(spark, sf), 4).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def question_context(spark, sf):
+    """Contexts and citations of the questions, from the chunks found."""
+    hits = best_chunks(spark, sf, st.questions(spark, sf), 4)
+    line = F.transform("citations", lambda c: F.concat_ws(", ", c["source"], c["section"], c["page"]))
+    cited = retrieval.citations(hits).select("query_id", F.array_join(line, "; ").alias("citations"))
+    return retrieval.rag_context(hits).join(cited, "query_id")
+
+
+@query
+def chat_fallback(spark, sf):
+    """The first user message of every conversation, with near chunks as context or the no-match answer."""
+    said = st.table(spark, sf, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("query_id"))
+    asked = said.agg(F.min_by("text", "turn").alias("query_text"))
+    near = best_chunks(spark, sf, asked, 2).where(F.col("score") >= NEAR_CHUNK)
+    answered = retrieval.with_fallback(asked, retrieval.rag_context(near))
+    return answered.select("query_id", F.col("matched").cast("int").alias("matched"), "context")
 
 
 # Model
