@@ -648,7 +648,7 @@ STATEMENTS = {
                coalesce(context, '{fv.NO_MATCH_ANSWER.replace("'", "''")}') AS context
         FROM first_said LEFT JOIN (
             SELECT query_id, string_agg({EXCERPT}, chr(10) ORDER BY rank) AS context
-            FROM said_hits JOIN chunked USING (chunk_id) WHERE score >= 0.75 GROUP BY query_id)
+            FROM said_hits JOIN chunked USING (chunk_id) WHERE score >= 0.55 GROUP BY query_id)
             ON query_id = item_id""",
     "messy_clocks": MESSY_CLOCK,
     "train_numbers": """

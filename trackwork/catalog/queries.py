@@ -28,7 +28,7 @@ from trackwork.sources import layouts, readers
 
 QUERIES = {}
 #: Cosine of hashed words from which a chunk is about a question.
-NEAR_CHUNK = 0.75
+NEAR_CHUNK = 0.55
 #: Boosting of the registered queries: the documented depth, fewer and larger steps than the 500 of the default.
 QUERY_TREES = {"maxIter": 20, "maxDepth": 6, "stepSize": 0.15}
 
