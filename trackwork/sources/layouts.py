@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,32 +11,43 @@ from pyspark.sql import functions as F
 
 from trackwork.functions.cleaning import clean_name, resolve_role, train_number, unique_names
 from trackwork.functions.clock import parse_clock
+from trackwork.operators.skew import top_per_group
 from trackwork.sources.readers import with_lineage
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
+#: Lines that a quoted header may run over.
+HEADER_LINES = 8
+
+
+def whole_header(lines: list[str]) -> str:
+    """The first line, and those after it that a quoted name with line breaks takes up."""
+    for n in range(1, len(lines) + 1):
+        header = "\n".join(lines[:n])
+        if header.count('"') % 2 == 0:
+            return header
+    return lines[0]
+
+
 def header_groups(spark: SparkSession, path) -> dict[str, list[str]]:
-    """Header line -> files that start with it."""
+    """Header -> files that start with it."""
     lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    first = (
-        lines.where(F.col("file_block_start") == 0)
-        .withColumn("_n", F.monotonically_increasing_id())
-        .groupBy("file_path")
-        .agg(F.min_by("value", "_n").alias("header"))
-    )
+    first = lines.where(F.col("file_block_start") == 0).withColumn("_n", F.monotonically_increasing_id())
+    first = top_per_group(first, ["file_path"], ["_n"], HEADER_LINES)
+    first = first.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("_n", "value")))["value"].alias("lines"))
     groups: dict[str, list[str]] = {}
     for row in first.orderBy("file_path").toLocalIterator():
-        groups.setdefault(row.header.lstrip("﻿"), []).append(row.file_path)
+        groups.setdefault(whole_header(row.lines).lstrip("\ufeff"), []).append(row.file_path)
     return groups
 
 
 def read_layout(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
     """Files of one layout, all columns text under their sanitised names."""
-    names = unique_names([clean_name(c) for c in next(csv.reader([header]))])
+    names = unique_names([clean_name(c) for c in next(csv.reader(io.StringIO(header)))])
     schema = ", ".join(f"`{n}` string" for n in names)
     reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-    return with_lineage(reader.option("escape", '"').csv(files))
+    return with_lineage(reader.option("escape", '"').option("multiLine", "\n" in header).csv(files))
 
 
 def union_layouts(frames: list[DataFrame]) -> DataFrame:
