@@ -7,12 +7,14 @@ import numpy as np
 import pytest
 
 from cases import LONG, PLAIN, documents, empty
+from trackwork.llm import jaccard
 from trackwork.llm.components import components
 from trackwork.llm.decontaminate import SEED_WORDS, contaminated, tiles, tokens
 from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.nearest import nearest
 from trackwork.llm.shingles import shingle_set
 from trackwork.llm.sketches import without
+from trackwork.llm.tables import written
 
 
 def roots(vertices, edges):
@@ -73,6 +75,24 @@ def test_components_of_similar_texts(spark, words, share):
     assert {r.doc_id: r.n_shingles for r in found} == {i: len(s) for i, s in sets.items()}
 
 
+def test_a_large_group_of_near_copies_takes_few_comparisons(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(150)] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    like, docs = Similarity(4, 85), documents(spark, rows)
+    members, heads, counts = jaccard.classes_in_groups(written(jaccard.prefixes(docs, "doc_id", "text", like), "p"))
+    shared = jaccard.buckets(heads, like)
+    tested = written(jaccard.first_pairs(members, shared).distinct(), "t")
+    rooted = written(jaccard.with_roots(members, jaccard.links(jaccard.may_link(tested, counts, like), members, docs, "doc_id", "text", like)), "r")
+    rest = jaccard.open_pairs(rooted, shared, like)
+    assert tested.count() + rest.count() < 5 * len(rows)
+
+
 def test_awkward_rows_of_the_similarity_join(spark):
     rows = jaccard_components(documents(spark)).collect()
     assert len(rows) == 12

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trackwork.llm.shingles import mixed, word_hashes
 from trackwork.llm.sketches import summed
-from trackwork.llm.tables import kind, written
+from trackwork.llm.tables import in_batches, kind, written
 from trackwork.llm.tokens import slices
 
 SEED_WORDS = 5
@@ -117,7 +117,7 @@ def benchmark_seeds(benchmark: DataFrame, item_column: str, text: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "size", "seed"])
 
     schema = f"item {kind(benchmark, item_column)}, size int, seed bigint"
-    return benchmark.select(F.col(item_column), F.col(text).cast("string")).mapInArrow(cut, schema)
+    return in_batches(benchmark.select(F.col(item_column), F.col(text).cast("string"))).mapInArrow(cut, schema)
 
 
 def seed_filter(marks: DataFrame) -> np.ndarray:
@@ -154,7 +154,7 @@ def suspects(docs: DataFrame, marks: DataFrame, id_column: str, text: str) -> Da
 
     rows = docs.select(F.col(id_column), F.col(text).cast("string"), F.xxhash64(F.col(text).cast("string")))
     schema = f"id {kind(docs, id_column)}, text string, text_hash bigint, seeds array<bigint>"
-    return rows.mapInArrow(look, schema).withColumn("d", F.monotonically_increasing_id())
+    return in_batches(rows).mapInArrow(look, schema).withColumn("d", F.monotonically_increasing_id())
 
 
 def contaminated(
@@ -205,4 +205,4 @@ def contaminated(
         f"id {kind(docs, id_column)}, item_id {kind(benchmark, item_column)}, coverage double, n_tiles int, "
         "tiles array<struct<item_at: int, doc_at: int, words: int>>, text_hash bigint"
     )
-    return both.mapInArrow(tile, schema).withColumnRenamed("id", id_column)
+    return in_batches(both).mapInArrow(tile, schema).withColumnRenamed("id", id_column)

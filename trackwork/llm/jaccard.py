@@ -16,6 +16,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from trackwork.llm.components import components
 from trackwork.llm.shingles import shingle_set
 from trackwork.llm.sketches import only_likely, summed
-from trackwork.llm.tables import written
+from trackwork.llm.tables import in_batches, written
 from trackwork.llm.tokens import slices
 
 #: Buckets of the document counts; 1 MB whatever the input. Counts only order the shingles.
@@ -43,6 +44,7 @@ class Similarity(NamedTuple):
 
     def reachable(self, n: Column, at: Column, m: Column, place: Column) -> Column:
         """Whether sets of n and m can link if the first shared shingle has these places."""
+        n, at, m, place = (c.cast("bigint") for c in (n, at, m, place))
         most = F.least(n - at, m - place)
         return most * (self.of + self.share) >= (n + m) * self.share
 
@@ -59,19 +61,20 @@ def document_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
                 total += np.bincount(places.astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    found = summed(docs.select(F.col(text).cast("binary")).mapInArrow(count, "counts binary"), "i8")
+    texts = in_batches(docs.select(F.col(text).cast("binary")))
+    found = summed(texts.mapInArrow(count, "counts binary"), "i8")
     return np.zeros(1 << COUNT_BITS, dtype=np.int64) if found is None else found
 
 
 def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
-    """Per document: doc, text_hash, n, digest of its set, prefix, digest of the prefix."""
+    """Per document: doc, text_hash, n, digest of its set, prefix, digest of the prefix, counts (see ``may_link``)."""
     order = docs.sparkSession.sparkContext.broadcast(document_counts(docs, text, like.words))
-    names = ["doc", "text_hash", "n", "digest", "prefix", "prefix_digest"]
+    names = ["doc", "text_hash", "n", "digest", "prefix", "prefix_digest", "counts"]
 
     def first_ones(batches):
         counts = order.value
         for batch in batches:
-            sizes, digests, heads, head_digests = [], [], [], []
+            sizes, digests, heads, head_digests, spread = [], [], [], [], []
             for value in batch.column(1):
                 own = shingle_set(value.as_py(), like.words)
                 rarest = own[np.argsort(counts[own >> np.uint64(64 - COUNT_BITS)], kind="stable")]
@@ -80,30 +83,55 @@ def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> Da
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 heads.append(head)
                 head_digests.append(xxhash.xxh3_128_digest(head.tobytes()))
+                spread.append(np.bincount(own.view(np.uint8)[::8], minlength=256).clip(max=255).astype(np.uint8).tobytes())
             offsets = np.cumsum([0, *map(len, heads)])
             values = np.concatenate([np.empty(0, dtype=np.uint64), *heads]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-            made = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(head_digests, pa.binary())]
+            made = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(head_digests, pa.binary()), pa.array(spread, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    schema = "doc bigint, text_hash bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary"
+    schema = "doc bigint, text_hash bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary, counts binary"
     value = F.col(text).cast("string")
-    return docs.select(F.col(id_column).cast("bigint"), value.cast("binary"), F.xxhash64(value)).mapInArrow(first_ones, schema)
+    rows = docs.select(F.col(id_column).cast("bigint"), value.cast("binary"), F.xxhash64(value))
+    return in_batches(rows).mapInArrow(first_ones, schema)
 
 
-def classes_in_groups(found: DataFrame) -> DataFrame:
-    """One row per distinct set: v (its number), doc (smallest id), n, digest, g (its group), prefix (of v = g)."""
+def classes_in_groups(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct sets as (v, doc, n, digest, g): number, smallest id, size, digest, group; groups as (g, n, prefix); counts by v."""
     sets = found.where("n > 0 and doc is not null").groupBy("n", "digest")
-    sets = sets.agg(F.min("doc").alias("doc"), F.first("prefix").alias("prefix"), F.first("prefix_digest").alias("key"))
+    sets = sets.agg(F.min("doc").alias("doc"), F.first("prefix").alias("prefix"), F.first("prefix_digest").alias("key"), F.first("counts").alias("counts"))
     sets = written(sets.withColumn("v", F.monotonically_increasing_id()), "classes")
     groups = sets.groupBy("n", "key").agg(F.min("v").alias("g"))
-    sets = sets.join(groups, ["n", "key"])
-    return written(sets.withColumn("prefix", F.expr("if(v = g, prefix, null)")).drop("key"), "groups")
+    members = written(sets.select("v", "doc", "n", "digest", "key").join(groups, ["n", "key"]).drop("key"), "members")
+    heads = sets.select("v", "n", "prefix").join(members.where("v = g").select("v"), "v").withColumnRenamed("v", "g")
+    return members, heads, sets.select("v", "n", "counts")
 
 
-def buckets(members: DataFrame) -> DataFrame:
-    """Places of prefix shingles that several groups share, each with the bucket's centre."""
-    places = members.where("v = g").select("g", "n", F.posexplode("prefix").alias("at", "s"))
+def may_link(pairs: DataFrame, counts: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs that the counts of their shingles in 256 buckets do not rule out.
+
+    What two sets share is at most the sum of the smaller counts. A count of 255 stands for more.
+    """
+
+    @F.pandas_udf("boolean")
+    def close(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        left, right = (np.frombuffer(b"".join(side), dtype=np.uint8).reshape(-1, 256) for side in (x, y))
+        least = np.minimum(left, right).astype(np.int64)
+        shared = least.sum(axis=1) + (least == 255).any(axis=1) * (1 << 40)
+        return pd.Series(shared * (like.of + like.share) >= (n.to_numpy() + m.to_numpy()) * like.share)
+
+    pairs = written(pairs, "candidates")
+    counts = only_likely(counts, "v", pairs.select("a").union(pairs.select("b")))
+    both = pairs.join(counts.toDF("a", "n", "x"), "a").join(counts.toDF("b", "m", "y"), "b")
+    return both.where(close("n", "m", "x", "y")).select("a", "b")
+
+
+def buckets(heads: DataFrame, like: Similarity) -> DataFrame:
+    """Places of prefix shingles that several groups share, each with the bucket's centre and size.
+
+    Of a bucket of two only the pair is of use, and only if it can link.
+    """
+    places = heads.select("g", "n", F.posexplode("prefix").alias("at", "s"))
     rank = F.shiftleft(F.col("at").cast("bigint"), 40) + F.pmod(F.xxhash64("g"), F.lit(1 << 40))
     centres = places.withColumn("rank", rank).groupBy("s")
     centres = centres.agg(
@@ -112,11 +140,14 @@ def buckets(members: DataFrame) -> DataFrame:
         F.min_by("n", "rank").alias("centre_n"),
         F.shiftright(F.min("rank"), 40).alias("centre_at"),
     )
-    return written(places.join(centres.where("size > 1").drop("size"), "s"), "buckets")
+    fits = like.reachable(F.col("n"), F.col("at"), F.col("centre_n"), F.col("centre_at"))
+    shared = places.join(centres.where("size > 1"), "s").withColumn("fits", fits & (F.col("g") != F.col("centre")))
+    return written(shared.where("fits or size > 2").drop("centre_n", "centre_at"), "buckets")
 
 
 def links(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are similar enough."""
+    pairs = written(pairs, "pairs")
     needed = pairs.select("a").union(pairs.select("b")).distinct().toDF("v")
     needed = written(members.join(needed, "v").select("v", "doc", "digest"), "needed")
 
@@ -124,30 +155,20 @@ def links(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_column: str,
         for batch in batches:
             owners, sets = [], []
             for i, (value, digest) in enumerate(zip(batch.column(1), batch.column(2))):
-                own = shingle_set(value.as_py(), like.words).tobytes()
-                if xxhash.xxh3_128_digest(own) == digest.as_py():  # ids may repeat
+                own = shingle_set(value.as_py(), like.words)
+                if xxhash.xxh3_128_digest(own.tobytes()) == digest.as_py():  # ids may repeat
                     owners.append(i)
-                    sets.append(own)
+                    sets.append(own.view(np.int64))
             kept = batch.column(0).take(pa.array(owners, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept, pa.array(sets, pa.binary())], names=["v", "own"])
-
-    def compare(batches):
-        for batch in batches:
-            close = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int((y[at] == x).sum())
-                close.append(like.of * shared >= like.share * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept, pa.array(sets, pa.list_(pa.int64()))], names=["v", "own"])
 
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("text"))
     texts = only_likely(texts, "doc", needed.select("doc")).join(needed, "doc")
-    sets = texts.select("v", "text", "digest").mapInArrow(whole_sets, "v bigint, own binary")
+    sets = in_batches(texts.select("v", "text", "digest")).mapInArrow(whole_sets, "v bigint, own array<bigint>")
     sets = written(sets.dropDuplicates(["v"]), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(compare, "a bigint, b bigint"), "links")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return written(both.where(shared * (like.of + like.share) >= (F.size("x") + F.size("y")) * like.share).select("a", "b"), "links")
 
 
 def with_roots(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,12 +177,9 @@ def with_roots(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(found, "v", "left").withColumn("root", F.coalesce("root", "v"))
 
 
-def first_pairs(members: DataFrame, shared: DataFrame, like: Similarity) -> DataFrame:
+def first_pairs(members: DataFrame, shared: DataFrame) -> DataFrame:
     """Every class against the first class of its group and of each bucket's centre."""
-    near = shared.where("g <> centre").where(
-        like.reachable(F.col("n"), F.col("at"), F.col("centre_n"), F.col("centre_at"))
-    )
-    near = near.select("g", F.col("centre").alias("b")).distinct()
+    near = shared.where("fits").select("g", F.col("centre").alias("b")).distinct()
     own = members.where("v <> g").select(F.col("v").alias("a"), F.col("g").alias("b"))
     return members.join(near, "g").select(F.col("v").alias("a"), "b").union(own)
 
@@ -169,13 +187,14 @@ def first_pairs(members: DataFrame, shared: DataFrame, like: Similarity) -> Data
 def open_pairs(members: DataFrame, shared: DataFrame, like: Similarity) -> DataFrame:
     """Pairs of classes of different components whose groups may hold similar sets."""
     spans = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    places = shared.select("s", "g", "n", "at").join(spans, "g")
-    several = places.groupBy("s").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-    places = written(places.join(several.where("_low < _high"), "s").drop("_low", "_high"), "open")
+    # A group of several components is like no other group.
+    roots = spans.select("g", F.expr("if(low = high, low, -1 - g)").alias("root"))
+    places = shared.where("size > 2").select("s", "g", F.col("n").cast("int"), "at").join(roots, "g")
+    several = places.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    places = written(places.join(several.where("low < high").select("s"), "s"), "open")
     x, y = places.alias("x"), places.alias("y")
-    one = "x.low = x.high and y.low = y.high and x.low = y.low"
     fits = like.reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & F.expr(f"x.g < y.g and not ({one})") & fits)
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & F.expr("x.g < y.g and x.root <> y.root") & fits)
     pairs = pairs.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
     pairs = pairs.union(spans.where("low < high").select("g", F.col("g").alias("h")))
     a = members.select(F.col("v").alias("a"), "g", F.col("root").alias("ra"))
@@ -192,13 +211,13 @@ def jaccard_components(docs: DataFrame, like: Similarity = Similarity(), id_colu
     whole numbers; an empty table gives none; columns other than id and text are not read.
     """
     found = written(prefixes(docs, id_column, text, like), "prefixes")
-    members = classes_in_groups(found)
-    shared = buckets(members)
-    tested = written(first_pairs(members, shared, like).distinct(), "pairs")
-    rooted = written(with_roots(members.drop("prefix"), links(tested, members, docs, id_column, text, like)), "rooted")
+    members, heads, counts = classes_in_groups(found)
+    shared = buckets(heads, like)
+    tested = written(first_pairs(members, shared).distinct(), "tested")
+    rooted = written(with_roots(members, links(may_link(tested, counts, like), members, docs, id_column, text, like)), "rooted")
     either = tested.union(tested.select("b", "a"))
-    rest = written(open_pairs(rooted, shared, like).join(either, ["a", "b"], "left_anti"), "pairs")
-    more = links(rest, members, docs, id_column, text, like)
+    rest = open_pairs(rooted, shared, like).join(either, ["a", "b"], "left_anti")
+    more = links(may_link(rest, counts, like), members, docs, id_column, text, like)
     ends = rooted.select("v", "root")
     more = more.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b")
     joined = components(more.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "_top")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackwork.llm.shingles import windows
-from trackwork.llm.tables import kind
+from trackwork.llm.tables import in_batches, kind
 from trackwork.llm.tokens import slices
 
 #: Words of a fingerprint, and fingerprints of which the least is kept: any four equal words in a row meet.
@@ -184,4 +184,4 @@ def scan_licenses(
                 made += [pa.array([m.first for m in matches], pa.int32()), pa.array([m.last for m in matches], pa.int32())]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return docs.select(F.col(id_column), F.col(text).cast("string")).mapInArrow(read, schema)
+    return in_batches(docs.select(F.col(id_column), F.col(text).cast("string"))).mapInArrow(read, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackwork.llm.tables import kind, written
+from trackwork.llm.tables import in_batches, kind, written
 from trackwork.llm.tokens import slices, tokenizer
 
 #: Pieces that one task ranks; lengths with more are dealt over several tasks by hash.
@@ -149,7 +149,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_colu
                 made += [pa.array(c, k) for c, k in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return docs.select(F.col(id_column), F.col(text).cast("string")).mapInArrow(cut, schema)
+    return in_batches(docs.select(F.col(id_column), F.col(text).cast("string"))).mapInArrow(cut, schema)
 
 
 def ranked(pieces: DataFrame, key: str, order: list[str], together: int) -> DataFrame:

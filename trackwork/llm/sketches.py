@@ -13,9 +13,16 @@ BLOOM_PROBES = 3
 
 
 def summed(rows: DataFrame, dtype: str, combine=np.add) -> np.ndarray | None:
-    """Combine the arrays in the only (binary) column; each step of the tree holds a few at a time."""
-    arrays = rows.rdd.map(lambda row: np.frombuffer(row[0], dtype=dtype))
-    return arrays.treeReduce(combine, depth=3) if not arrays.isEmpty() else None
+    """Combine the arrays in the only (binary) column, a few at a time; None where there are no rows."""
+    zero = (None, 0)
+
+    def add(held, other):
+        if not held[1] or not other[1]:
+            return held if held[1] else other
+        return combine(held[0], other[0]), 1
+
+    arrays = rows.rdd.map(lambda row: (np.frombuffer(row[0], dtype=dtype), 1))
+    return arrays.treeAggregate(zero, add, add, depth=3)[0]
 
 
 def _probes(ids: np.ndarray) -> np.ndarray:

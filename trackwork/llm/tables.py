@@ -21,6 +21,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, which goes to Python in batches of a few MB and not of so many rows, however long.
+
+    The setting is the session's and is made only where it has none.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def kind(df: DataFrame, column: str) -> str:
     """SQL type of a column."""
     return df.schema[column].dataType.simpleString()

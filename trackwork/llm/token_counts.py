@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwork.llm.tables import kind
+from trackwork.llm.tables import in_batches, kind
 from trackwork.llm.tokens import BATCH_BYTES, tokenizer
 
 
@@ -45,5 +45,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_column: str = "doc_i
             columns = [batch.column(0), sizes, pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_column), F.col(text).cast("string")).mapInArrow(counted, schema)
+    rows = in_batches(docs.select(F.col(id_column), F.col(text).cast("string"))).mapInArrow(counted, schema)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -34,8 +34,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Words(dict):
-    """Word -> what ``of`` makes of its ids; filled as words are met."""
+class Cache(dict):
+    """Word -> what ``of`` makes of it; filled as words are met, emptied when large."""
 
     def __init__(self, of):
         self.of = of
@@ -62,9 +62,9 @@ class WordTokenizer:
         self.whole.no_padding()
         self.tokenize = self.whole.model.tokenize
         self.letters = _byte_letters()
-        self.pieces = _Words(self._piece)
-        self.packed = _Words(lambda word: struct.pack(f"<{len(ids := self._word(word))}I", *ids))
-        self.lengths = _Words(lambda word: len(self._word(word)))
+        self.pieces = Cache(self._piece)
+        self.packed = Cache(lambda word: struct.pack(f"<{len(ids := self._word(word))}I", *ids))
+        self.lengths = Cache(lambda word: len(self._word(word)))
 
     def _piece(self, piece: str) -> list[int]:
         if not piece.isascii():
