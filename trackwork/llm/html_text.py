@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwork.llm.tables import kind
+from trackwork.llm.tables import in_batches, kind
 from trackwork.llm.tokens import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,10 +25,13 @@ DROPPED = frozenset(
 #: Words of a class, id or role that mark page furniture.
 FURNITURE = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
-    "banner notice notices alert popup modal overlay sidebar sidebars aside menu menus nav navbar navigation breadcrumb "
-    "breadcrumbs pager pagination footer masthead toolbar share sharing social newsletter subscribe subscription signup "
-    "login related recommended widget comment comments reply replies respond disqus contentinfo complementary search".split()
+    "adsbygoogle adsense adslot adunit banner notice notices notification notifications announcement alert dialog popup modal "
+    "overlay sidebar sidebars sidenav aside menu menus menubar nav navbar topnav topbar navigation breadcrumb breadcrumbs pager "
+    "pagination footer colophon copyright masthead toolbar share sharing social newsletter subscribe subscription signup login "
+    "form skip related recommended widget comment comments reply replies respond disqus contentinfo complementary search".split()
 )
+#: With one of these, such a word may describe a frame around the article: "layout has-sidebar".
+FRAME = frozenset("has with without no layout wrapper wrap container page content main row col column grid site".split())
 #: With one of these beside it, "header" names the head of the article and not of the page.
 OWN_HEAD = frozenset("article post entry story content title".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
@@ -39,12 +42,14 @@ SIBLING_SHARE, LINKED = 0.2, 0.25
 WORDS = re.compile(r"[a-z]+")
 
 
-def _furniture(attrs: list[tuple[str, str | None]]) -> bool:
+def _furniture(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether an element is named as page furniture, and whether it may be a frame all the same."""
     said = [v for k, v in attrs if k in ("class", "id", "role") and v]
     if not said:
-        return False
+        return False, False
     found = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(said)).lower()))
-    return not found.isdisjoint(FURNITURE) or ("header" in found and found.isdisjoint(OWN_HEAD))
+    named = not found.isdisjoint(FURNITURE) or ("header" in found and found.isdisjoint(OWN_HEAD))
+    return named, named and not found.isdisjoint(FRAME)
 
 
 class Page(HTMLParser):
@@ -55,17 +60,18 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.dropped, self.linked = ["#"], [0], [False], [False]
+        self.tags, self.parents, self.dropped, self.linked, self.frames = ["#"], [0], [False], [False], [False]
         self.open = [0]
         self.block = 0
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
 
-    def _push(self, tag: str, dropped: bool) -> None:
+    def _push(self, tag: str, dropped: bool, frame: bool) -> None:
         top = self.open[-1]
         self.open.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(top)
-        self.dropped.append(dropped or self.dropped[top])
+        self.dropped.append(dropped)
+        self.frames.append(frame)
         self.linked.append(tag == "a" or self.linked[top])
 
     def _close(self, tags, until=frozenset()) -> None:
@@ -86,9 +92,10 @@ class Page(HTMLParser):
             self._close(CLOSED_BY[tag], SCOPES - CLOSED_BY[tag])
         if tag in ("br", "td", "th"):
             self.texts.append((self.open[-1], self.block, " "))
-        dropped = tag in DROPPED or (tag not in ("html", "body") and _furniture(attrs))
+        named, frame = (False, False) if tag in ("html", "body") else _furniture(attrs)
+        dropped = named or tag in DROPPED
         if tag not in VOID and (dropped or tag in BLOCKS or tag == "a"):
-            self._push(tag, dropped)
+            self._push(tag, dropped, frame and tag not in DROPPED)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -103,6 +110,18 @@ class Page(HTMLParser):
         self.texts.append((self.open[-1], self.block, data))
 
 
+def _settle(page: Page) -> None:
+    """Keep frames around an article, then drop all that is inside a dropped element."""
+    for i, tag in enumerate(page.tags):
+        if (tag in WHOLE or tag == "h1") and not page.dropped[i]:
+            above = page.parents[i]
+            while above:
+                page.dropped[above] &= not page.frames[above]
+                above = page.parents[above]
+    for i in range(1, len(page.tags)):
+        page.dropped[i] |= page.dropped[page.parents[i]]
+
+
 def _holder(page: Page, node: int) -> int:
     """The nearest element around ``node`` that can be a container."""
     while node and page.tags[node] not in BLOCKS:
@@ -143,6 +162,7 @@ def main_text(html: str | None) -> str:
     page = Page()
     page.feed(html or "")
     page.close()
+    _settle(page)
     points, chars, links = _scores(page)
     thin = [1 - links[i] / chars[i] if chars[i] else 0.0 for i in range(len(points))]
     value = [p * t for p, t in zip(points, thin)]
@@ -188,5 +208,5 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=[id_column, url, "text"])
 
-    found = pages.select(id_column, url, F.col(html).cast("string")).mapInArrow(read, schema)
+    found = in_batches(pages.select(id_column, url, F.col(html).cast("string"))).mapInArrow(read, schema)
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
