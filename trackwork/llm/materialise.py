@@ -12,11 +12,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackwork.llm.tables import kind, written
+from trackwork.llm.tables import in_batches, kind, written
 from trackwork.llm.tokens import slices, tokenizer
 
 #: A record: the number of tokens, then the ids, then zeros up to the length of a sequence.
@@ -59,30 +60,34 @@ def permuted(numbers: np.ndarray, count: int, key: int) -> np.ndarray:
 
 
 def token_sequences(docs: DataFrame, path: str, length: int, end_id: int, id_column: str, text: str, width: str) -> DataFrame:
-    """Whole sequences of each task's documents, in their order: task, number, n_tokens, ids, doc_ids."""
-    schema = f"task int, number bigint, n_tokens int, ids binary, doc_ids array<{kind(docs, id_column)}>"
+    """Whole sequences of each task's documents, in their order, the ids compressed one sequence at a time.
+
+    Columns: task, number, n_tokens, ids, ids_crc32, doc_ids.
+    """
+    names = ["task", "number", "n_tokens", "ids", "ids_crc32", "doc_ids"]
+    schema = f"task int, number bigint, n_tokens int, ids binary, ids_crc32 bigint, doc_ids array<{kind(docs, id_column)}>"
 
     def cut(batches):
         ids_of, end = tokenizer(path).ids, np.array([end_id], dtype=width)
         task, number, size = TaskContext.get().partitionId(), 0, length * end.itemsize
-        held, owners, out = bytearray(), [], ([], [], [])
+        held, owners, out = bytearray(), [], ([], [], [], [], [])
+        pack = zstandard.ZstdCompressor(level=6).compress
 
         def take(n):
             nonlocal number
-            out[0].append(number)
-            out[1].append(bytes(held[:n]))
-            out[2].append(list(owners))
+            own = bytes(held[:n])
+            for column, value in zip(out, (number, n // end.itemsize, pack(own), zlib.crc32(own), list(owners))):
+                column.append(value)
             number += 1
             del held[:n]
             owners[:] = owners[-1:] if held else []
 
         def flush():
-            n = len(out[0])
-            columns = [pa.array([task] * n, pa.int32()), pa.array(out[0], pa.int64())]
-            columns += [pa.array([len(x) // end.itemsize for x in out[1]], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(id_type))]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(id_type))
+            columns = [pa.array([task] * len(out[0]), pa.int32()), *(pa.array(c, k) for c, k in zip(out, kinds))]
             for column in out:
                 column.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["task", "number", "n_tokens", "ids", "doc_ids"])
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         id_type = pa.int64()
         for batch in batches:
@@ -100,17 +105,17 @@ def token_sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col
             take(len(held))
         yield flush()
 
-    return docs.select(F.col(id_column), F.col(text).cast("string")).mapInArrow(cut, schema)
+    return in_batches(docs.select(F.col(id_column), F.col(text).cast("string"))).mapInArrow(cut, schema)
 
 
 def materialise(
     docs: DataFrame,
     path: str,
     folder: str,
-    length: int = 2048,
+    length: int = 8192,
     end_id: int = 1,
     key: int = 0,
-    shard_slots: int = 4096,
+    shard_slots: int = 2048,
     id_column: str = "doc_id",
     text: str = "text",
     width: str = "<u2",
@@ -123,8 +128,8 @@ def materialise(
     doc_ids (whose tokens it holds, in order; null ids are kept). ``width`` must hold the largest id.
     A null or empty text is its end id; repeated rows are written each; an empty table gives no files.
     """
-    made = written(token_sequences(docs, path, length, end_id, id_column, text, width), "sequences")
-    per_task = made.groupBy("task").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+    made = written(token_sequences(docs, path, length, end_id, id_column, text, width), "sequences", "uncompressed")
+    per_task = made.groupBy("task").agg(F.count(F.lit(1)).alias("n"))  # a row for each task: small enough to send
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_task.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     count = made.count()
@@ -135,11 +140,13 @@ def materialise(
 
         return pd.Series(permuted(numbers.to_numpy(), count, key))
 
-    placed = made.join(starts, "task").withColumn("slot", slot_of(F.col("first") + F.col("number")))
+    placed = made.join(F.broadcast(starts), "task").withColumn("slot", slot_of(F.col("first") + F.col("number")))
     shards = max(1, -(-count // shard_slots))
     stride = HEAD.itemsize + length * np.dtype(width).itemsize
-    ordered = placed.select((F.col("slot") / shard_slots).cast("int").alias("shard"), "slot", "n_tokens", "ids", "doc_ids")
-    ordered = ordered.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    shard_of = F.floor(F.col("slot") / shard_slots).cast("int")
+    ordered = placed.select(shard_of.alias("shard"), "slot", "n_tokens", "ids", "ids_crc32", "doc_ids")
+    # Slots are dense, so equal ranges of them are equal parts and need no sample.
+    ordered = ordered.repartitionById(shards, "shard").sortWithinPartitions("slot")
     schema = f"slot bigint, shard int, offset bigint, n_tokens int, ids_crc32 bigint, doc_ids array<{kind(docs, id_column)}>"
 
     def write(batches):
@@ -148,6 +155,7 @@ def materialise(
         store, base = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
         shard, file, name = None, None, ""
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def finish():
             if file is not None:
@@ -156,23 +164,22 @@ def materialise(
 
         store.create_dir(base, recursive=True)
         for batch in batches:
-            slots, offsets, sums = [], [], []
+            offsets = []
             for own, slot, n, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if own != shard:
                     finish()
                     shard, name = own, f"{base}/shard-{own:08d}.bin"
                     file = store.open_output_stream(f"{name}.{attempt}")
-                file.write(np.array([n], dtype=HEAD).tobytes() + ids.ljust(stride - HEAD.itemsize, b"\0"))
+                file.write(np.array([n], dtype=HEAD).tobytes() + unpack(ids).ljust(stride - HEAD.itemsize, b"\0"))
                 offsets.append((slot - own * shard_slots) * stride)
-                sums.append(zlib.crc32(ids))
-            columns = [batch.column(1), batch.column(0), pa.array(offsets, pa.int64()), batch.column(2), pa.array(sums, pa.int64()), batch.column(4)]
+            columns = [batch.column(1), batch.column(0), pa.array(offsets, pa.int64()), *(batch.column(i) for i in (2, 4, 5))]
             yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "offset", "n_tokens", "ids_crc32", "doc_ids"])
         finish()
 
-    return written(ordered.mapInArrow(write, schema), "manifest")
+    return written(in_batches(ordered).mapInArrow(write, schema), "manifest")
 
 
-def read_slots(folder: str, first: int, count: int, length: int = 2048, shard_slots: int = 4096, width: str = "<u2"):
+def read_slots(folder: str, first: int, count: int, length: int = 8192, shard_slots: int = 2048, width: str = "<u2"):
     """Ids of the sequences in slots ``first`` and up, by one sequential read per shard."""
     from pyarrow import fs
 

@@ -22,7 +22,7 @@ WORD_BPE = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 COUNT_LIMIT = 2048
-ORDER_KEY = 20_240_917
+ORDER_KEY, ORDER_TOKENS = 20_240_917, 8192
 
 
 def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op9_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token shards in permuted order, and where each sequence went."""
     docs = table(spark, sf_dir, "documents")
-    return materialise(docs, vocabulary(WORD_BPE), shard_folder(spark), length=2048, end_id=END_ID, key=ORDER_KEY)
+    return materialise(docs, vocabulary(WORD_BPE), shard_folder(spark), length=ORDER_TOKENS, end_id=END_ID, key=ORDER_KEY)
 
 
 QUERIES = {f.__name__: f for f in (
