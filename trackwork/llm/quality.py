@@ -8,19 +8,22 @@ a linear scorer over hashed features.
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
+from collections.abc import Collection, Iterator
+from itertools import chain, islice
 from operator import eq
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwork.llm.sketches import summed
-from trackwork.llm.tables import written
+from trackwork.llm.tables import in_batches, written
 from trackwork.llm.tokens import slices
 
 #: Bounds of what the models are fitted on; documents are chosen by a hash of their id.
@@ -35,11 +38,14 @@ STEM_WORDS, STEM_SIZES = 3, (4, 5, 6, 7)
 #: Weight of all words of a text together, beside a labeller's 1.
 WORDS_WEIGHT = 0.3
 FEATURE_BITS = 18
-EPOCHS, RATE = 8, 0.5
+#: Passes over a part of the fitted documents, more where they are few; documents of a part; step size.
+EPOCHS, STEPS, PART, RATE = 8, 20_000, 2_500, 0.5
 THRESHOLD = 0.5
+#: How often a labeller is expected to fire on good documents, and the share of all that this counts as seen.
+RARELY, PRIOR = 0.001, 1.0
 
 #: Common English insults.
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+INSULTS = frozenset(b"clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
 #: Labellers by defect, in the order of their bits.
 DEFECTS = {
     "shouting": ("capital_letters", "capital_words", "exclamations"),
@@ -50,7 +56,8 @@ DEFECTS = {
 }
 LABELLERS = [name for names in DEFECTS.values() for name in names]
 
-WORD = re.compile(r"[^\W\d_]+")
+#: ASCII letters in lower case, blanks for all other ASCII, the rest as it is.
+_LETTERS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _WIDE = bytes(range(128, 256))
@@ -65,33 +72,56 @@ class Lists(NamedTuple):
     stems: frozenset[str]
 
 
-def terms(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+class Text:
+    """A text's bytes, its blank-separated parts, and its different words."""
 
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode("utf-8", "replace")
+        self.parts = self.raw.split()
+        self.words = set(words(self.raw))
 
-def signals(text: str, found: set[str], lists: Lists) -> int:
+
+def words(raw: bytes) -> list[bytes]:
+    """Runs of letters, A-Z in lower case; whatever is not ASCII counts as a letter."""
+    return raw.translate(_LETTERS).split()
+
+
+class Marks:
+    """Looks for the three lists of abuse in a text's words."""
+
+    def __init__(self, lists: Lists):
+        self.listed = frozenset(w.encode() for w in lists.words)
+        self.stems = tuple(s.encode() for s in lists.stems)
+        self.heads = frozenset(s[:4] for s in self.stems)
+
+    def __call__(self, found: set[bytes]) -> tuple[bool, bool, bool]:
+        stem = False
+        if self.stems and not self.heads.isdisjoint({w[:4] for w in found}):
+            stem = any(w.startswith(self.stems) for w in found)
+        return not INSULTS.isdisjoint(found), not self.listed.isdisjoint(found), stem
+
+
+def signals(text: Text, marks: Marks) -> int:
     """Bits of the labellers that fire, in the order of ``LABELLERS``."""
-    raw = text.encode("utf-8", "replace")
-    size, parts = len(raw), raw.split()
+    raw, parts, size, n = text.raw, text.parts, len(text.raw), len(text.parts)
     lines = [line for line in raw.split(b"\n") if line]
-    n, upper, lower = len(parts), size - len(raw.translate(None, _UPPER)), size - len(raw.translate(None, _LOWER))
-    symbols = size - len(raw.translate(None, _SYMBOLS))
-    wide = len(raw) - len(raw.translate(None, _WIDE))
+    upper, lower = size - len(raw.translate(None, _UPPER)), size - len(raw.translate(None, _LOWER))
+    symbols, wide = size - len(raw.translate(None, _SYMBOLS)), size - len(raw.translate(None, _WIDE))
+    different = len(set(parts))
+    # The cheap conditions that come first in a line only spare work: the others imply them.
     fires = (
         upper > 20 and upper > lower,
-        n >= 5 and sum(map(bytes.isupper, parts)) > 0.5 * n,
+        n >= 5 and upper > 0.5 * n and sum(map(bytes.isupper, parts)) > 0.5 * n,
         n >= 5 and raw.count(b"!!") > 0.3 * n,
         size >= 100 and symbols > 0.1 * size,
-        n >= 5 and sum(map(raw.count, _RUNS)) > 0.3 * n,
+        n >= 5 and symbols > 0.6 * n and sum(map(raw.count, _RUNS)) > 0.3 * n,
         n >= 10 and upper + lower + wide + n < 0.75 * size,
         n >= 10 and parts.count(b"|") > 0.05 * n,
-        n >= 10 and sum(line.count(b" | ") >= 2 for line in lines) > 0.3 * len(lines),
-        n >= 10 and sum(map(eq, parts, parts[1:])) > 0.3 * n,
-        n >= 30 and len(set(parts)) < 0.35 * n,
+        n >= 10 and b"|" in raw and sum(line.count(b" | ") >= 2 for line in lines) > 0.3 * len(lines),
+        n >= 10 and different < 0.75 * n + 1 and sum(map(eq, parts, islice(parts, 1, None))) > 0.3 * n,
+        n >= 30 and different < 0.35 * n,
         len(lines) >= 4 and len(set(lines)) <= 0.5 * len(lines),
-        not INSULTS.isdisjoint(found),
-        not lists.words.isdisjoint(found),
-        any(not lists.stems.isdisjoint({w[:n] for w in found}) for n in STEM_SIZES) if lists.stems else False,
+        *marks(text.words),
     )
     return sum(1 << i for i, fire in enumerate(fires) if fire)
 
@@ -118,7 +148,7 @@ def learn_lists(docs: DataFrame, labels: DataFrame, id_column: str, text: str, l
             for part in slices(batch):
                 found = []
                 for text, bad in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = WORD.findall(text.lower())
+                    own = [w.decode() for w in words(text.encode("utf-8", "replace"))]
                     if not bad:
                         found += [(w, 0, 0) for w in set(own)]
                         continue
@@ -129,7 +159,7 @@ def learn_lists(docs: DataFrame, labels: DataFrame, id_column: str, text: str, l
                 kinds = (pa.string(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "around", "bad"])
 
-    met = rows.mapInArrow(split, "word string, around bigint, bad int").groupBy("word", "around", "bad").agg(F.count(F.lit(1)).alias("n"))
+    met = in_batches(rows).mapInArrow(split, "word string, around bigint, bad int").groupBy("word", "around", "bad").agg(F.count(F.lit(1)).alias("n"))
     counted = met.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(F.expr("if(bad = 0, n, 0)")).alias("good"))
     counted = written(counted, "words")
     share = min(max(rows.agg(F.avg("bad")).first()[0] or 0.5, 0.01), 0.9)
@@ -158,17 +188,18 @@ def hash_pair(left: str, right: str) -> int:
 def estimate(counts: dict[int, int], labellers: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Chance that each labeller fires on bad and on good documents, and the share of bad ones.
 
-    Starts from "bad if any fires". Pseudo-counts keep every chance off 0 and 1.
+    Starts from "bad if any fires". Pseudo-counts keep every chance off 0 and 1; they say that labellers rarely
+    fire on good documents, which settles what firings of one labeller alone cannot.
     """
     if not counts:
         return np.full(labellers, 0.5), np.full(labellers, 0.01), 0.01
     patterns = np.array(sorted(counts))
     weight = np.array([counts[p] for p in patterns.tolist()], dtype=float)
     fires = (patterns[:, None] >> np.arange(labellers)) & 1
-    bad = np.where(fires.any(axis=1), 0.9, 0.01)
+    bad, prior = np.where(fires.any(axis=1), 0.9, 0.01), PRIOR * weight.sum() + 1
     for _ in range(rounds):
         on_bad = ((weight * bad) @ fires + 1) / ((weight * bad).sum() + 2)
-        on_good = ((weight * (1 - bad)) @ fires + 0.01) / ((weight * (1 - bad)).sum() + 1)
+        on_good = ((weight * (1 - bad)) @ fires + RARELY * prior) / ((weight * (1 - bad)).sum() + prior)
         share = ((weight * bad).sum() + 0.01) / (weight.sum() + 1)
         new = _posterior(fires, on_bad, on_good, share)
         if np.abs(new - bad).max() < 1e-9:
@@ -196,14 +227,13 @@ class WeakLabels(NamedTuple):
         return 1 - clean
 
 
-def features(pattern: int, found: set[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed places and values: each labeller with weight 1, all words together with length 1."""
-    own = [f"\0{i}" for i in range(len(LABELLERS)) if pattern >> i & 1]
-    names = ["\0", *own, *found]
-    at = np.fromiter((xxhash.xxh3_64_intdigest(x) >> (64 - FEATURE_BITS) for x in names), dtype=np.int64, count=len(names))
-    values = np.ones(len(names))
-    values[1 + len(own) :] = WORDS_WEIGHT * max(len(found), 1) ** -0.5
-    return at, values
+def features(pattern: int, found: Collection[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed places and values: each labeller with weight 1, all words together with a fixed length."""
+    own = [b"\0", *(b"\0%d" % i for i in range(len(LABELLERS)) if pattern >> i & 1)]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain(own, found)), dtype=np.uint64, count=len(own) + len(found))
+    values = np.ones(len(hashes))
+    values[len(own) :] = WORDS_WEIGHT * max(len(found), 1) ** -0.5
+    return (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), values
 
 
 class Model(NamedTuple):
@@ -213,11 +243,19 @@ class Model(NamedTuple):
     weak: WeakLabels
     weights: np.ndarray
 
-    def score(self, text: str | None) -> float:
+
+class Scorer:
+    """A model that reads texts."""
+
+    def __init__(self, model: Model):
+        self.weights, self.marks = model.weights, Marks(model.lists)
+
+    def __call__(self, text: str | None) -> float:
         """Chance that a text should be rejected."""
-        found = terms(text or "")
-        at, values = features(signals(text or "", found, self.lists), found)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ values, -40, 40))))
+        read = Text(text)
+        at, values = features(signals(read, self.marks), read.words)
+        # Words come out of a set in any order; summed exactly, they give the same score in every process.
+        return 1 / (1 + math.exp(-min(max(math.fsum((self.weights[at] * values).tolist()), -40), 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED, trained: int = TRAINED) -> Model:
@@ -226,12 +264,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     shared_lists = docs.sparkSession.sparkContext.broadcast(lists)
 
     @F.pandas_udf("int")
-    def fired(texts):
-        own = shared_lists.value
-        return texts.map(lambda t: signals(t or "", terms(t or ""), own), na_action=None).astype("int32")
+    def fired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        marks = Marks(shared_lists.value)
+        for texts in batches:
+            yield texts.map(lambda t: signals(Text(t), marks), na_action=None).astype("int32")
 
     value = F.col(text).cast("string")
-    patterns = docs.select(fired(value).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2^14 rows
+    patterns = in_batches(docs).select(fired(value).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2^14 rows
     counts = {r["p"]: r["n"] for r in patterns}
     rows = sum(counts.values())
     parts, first = [], 0
@@ -246,13 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
     def train(batches):
         lists, weak = shared.value
+        marks = Marks(lists)
         weights, seen, examples = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-6), []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = terms(text or "")
-                pattern = signals(text or "", found, lists)
-                examples.append((*features(pattern, found), float(weak.bad(np.array([pattern]))[0])))
-        for _ in range(EPOCHS):
+                read = Text(text)
+                pattern = signals(read, marks)
+                examples.append((*features(pattern, sorted(read.words)), float(weak.bad(np.array([pattern]))[0])))
+        for _ in range(max(EPOCHS, -(-STEPS // max(len(examples), 1)))):
             for at, values, wanted in examples:
                 got = 1 / (1 + np.exp(-np.clip(weights[at] @ values, -40, 40)))
                 step = (got - wanted) * values
@@ -262,8 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], names=["weights"])
 
     chosen = docs.where(sampled(F.col(id_column), rows, trained)).select(F.col(id_column).alias("id"), value.alias("text"))
-    chosen = chosen.repartition(8, F.xxhash64("id", "text")).sortWithinPartitions("id", "text").select("text")
-    total = summed(chosen.mapInArrow(train, "weights binary"), "f8")
+    parts = -(-min(max(rows, 1), trained) // PART)
+    chosen = chosen.repartition(parts, F.xxhash64("id", "text")).sortWithinPartitions("id", "text").select("text")
+    total = summed(in_batches(chosen).mapInArrow(train, "weights binary"), "f8")
     weights = np.zeros(1 << FEATURE_BITS) if total is None or not total[-1] else total[:-1] / total[-1]
     return Model(lists, weak, weights.astype(np.float32))
 
@@ -274,8 +315,10 @@ def reject_score(model: Model, text: Column) -> Column:
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(shared.value.score, na_action=None).astype("float64").round(6)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            yield texts.map(scorer, na_action=None).astype("float64").round(6)
 
     return score(text.cast("string"))
 
