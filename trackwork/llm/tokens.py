@@ -18,7 +18,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Pieces of a lower-cased plain word, as the tokenizer's own pattern cuts it.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 BLANKS = str.maketrans("\t\n\r", "   ")
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
 LONGEST_CACHED = 64
 BATCH_BYTES = 1 << 20
 #: A single blank between visible text and a letter: the next token starts with it.
@@ -62,7 +62,6 @@ class WordTokenizer:
         self.whole.no_padding()
         self.tokenize = self.whole.model.tokenize
         self.letters = _byte_letters()
-        self.pieces = Cache(self._piece)
         self.packed = Cache(lambda word: struct.pack(f"<{len(ids := self._word(word))}I", *ids))
         self.lengths = Cache(lambda word: len(self._word(word)))
 
@@ -77,8 +76,8 @@ class WordTokenizer:
         if "<|" in word or not PLAIN.fullmatch(word):
             return self.whole.encode(word, add_special_tokens=False).ids
         if len(found := PIECES.findall(word.lower())) == 1:
-            return self.pieces[found[0]]
-        return [i for piece in found for i in self.pieces[piece]]
+            return self._piece(found[0])
+        return [i for piece in found for i in self._piece(piece)]
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -88,14 +87,12 @@ class WordTokenizer:
         """Ids as little-endian unsigned 32-bit numbers."""
         out = b"".join(map(self.packed.__getitem__, self.words(text)))
         self.packed.trim()
-        self.pieces.trim()
         return out
 
     def counts(self, texts: list[str | None]) -> list[int]:
         at = self.lengths.__getitem__
         out = [sum(map(at, self.words(text))) for text in texts]
         self.lengths.trim()
-        self.pieces.trim()
         return out
 
 
