@@ -21,11 +21,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 
 
 def in_batches(df: DataFrame) -> DataFrame:
-    """``df``, which goes to Python in batches of a few MB and not of so many rows, however long.
+    """``df``, which goes to Python in batches of about a MB and not of so many rows, however long.
 
     The setting is the session's and is made only where it has none.
     """

@@ -18,7 +18,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Pieces of a lower-cased plain word, as the tokenizer's own pattern cuts it.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 BLANKS = str.maketrans("\t\n\r", "   ")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 LONGEST_CACHED = 64
 BATCH_BYTES = 1 << 20
 #: A single blank between visible text and a letter: the next token starts with it.
