@@ -75,6 +75,25 @@ def test_components_of_similar_texts(spark, words, share):
     assert {r.doc_id: r.n_shingles for r in found} == {i: len(s) for i, s in sets.items()}
 
 
+def test_two_groups_that_meet_only_in_buckets_of_two(spark):
+    """Members of the centre's group beside its first class are compared with the other group."""
+    like, rows = Similarity(1, 85), []
+    for family in range(16):
+        base = [f"f{family}w{i}" for i in range(52)]
+        often, other = ([f"{name}{i}" for i in range(4)] for name in ("often", "other"))
+        alone = [f"f{family}x{i}" for i in range(4)]
+        # The first two differ in words of many texts only: equal prefixes. The third is like the second only.
+        rows += [(10 * family + i, " ".join(own)) for i, own in enumerate((base + often, base + other, base + other + alone))]
+    sets = {i: set(t.split()) for i, t in rows}
+    edges = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = roots(sets, edges)
+    assert len(edges) == 32 and len(set(want.values())) == 16
+    found = jaccard_components(documents(spark, rows), like).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+    members, _, _ = jaccard.classes_in_groups(written(jaccard.prefixes(documents(spark, rows), "doc_id", "text", like), "p"))
+    assert members.where("v <> g").count() > 8
+
+
 def test_a_large_group_of_near_copies_takes_few_comparisons(spark):
     rng = random.Random(8)
     base = [f"b{i}" for i in range(150)]

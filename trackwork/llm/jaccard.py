@@ -97,13 +97,14 @@ def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> Da
 
 
 def classes_in_groups(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct sets as (v, doc, n, digest, g): number, smallest id, size, digest, group; groups as (g, n, prefix); counts by v."""
+    """Distinct sets as (v, doc, n, digest, g): number, smallest id, size, digest, group; groups as (g, n, prefix, several: of more than one class); counts by v."""
     sets = found.where("n > 0 and doc is not null").groupBy("n", "digest")
     sets = sets.agg(F.min("doc").alias("doc"), F.first("prefix").alias("prefix"), F.first("prefix_digest").alias("key"), F.first("counts").alias("counts"))
     sets = written(sets.withColumn("v", F.monotonically_increasing_id()), "classes")
-    groups = sets.groupBy("n", "key").agg(F.min("v").alias("g"))
+    groups = sets.groupBy("n", "key").agg(F.min("v").alias("g"), (F.count(F.lit(1)) > 1).alias("several"))
     members = written(sets.select("v", "doc", "n", "digest", "key").join(groups, ["n", "key"]).drop("key"), "members")
-    heads = sets.select("v", "n", "prefix").join(members.where("v = g").select("v"), "v").withColumnRenamed("v", "g")
+    heads = sets.select("v", "n", "prefix").join(members.where("v = g").select("v", "several"), "v").withColumnRenamed("v", "g")
+    members = members.drop("several")
     return members, heads, sets.select("v", "n", "counts")
 
 
@@ -129,20 +130,22 @@ def may_link(pairs: DataFrame, counts: DataFrame, like: Similarity) -> DataFrame
 def buckets(heads: DataFrame, like: Similarity) -> DataFrame:
     """Places of prefix shingles that several groups share, each with the bucket's centre and size.
 
-    Of a bucket of two only the pair is of use, and only if it can link.
+    Of a bucket of two only the pair is of use, and only if it can link. Where one of the two has several
+    classes, round one compares not all of them, and the bucket is ``open`` for round two as larger ones are.
     """
-    places = heads.select("g", "n", F.posexplode("prefix").alias("at", "s"))
+    places = heads.select("g", "n", "several", F.posexplode("prefix").alias("at", "s"))
     rank = F.shiftleft(F.col("at").cast("bigint"), 40) + F.pmod(F.xxhash64("g"), F.lit(1 << 40))
     centres = places.withColumn("rank", rank).groupBy("s")
     centres = centres.agg(
+        ((F.count(F.lit(1)) > 2) | F.max("several")).alias("open"),
         F.count(F.lit(1)).alias("size"),
         F.min_by("g", "rank").alias("centre"),
         F.min_by("n", "rank").alias("centre_n"),
         F.shiftright(F.min("rank"), 40).alias("centre_at"),
     )
     fits = like.reachable(F.col("n"), F.col("at"), F.col("centre_n"), F.col("centre_at"))
-    shared = places.join(centres.where("size > 1"), "s").withColumn("fits", fits & (F.col("g") != F.col("centre")))
-    return written(shared.where("fits or size > 2").drop("centre_n", "centre_at"), "buckets")
+    shared = places.drop("several").join(centres.where("size > 1").drop("size"), "s").withColumn("fits", fits & (F.col("g") != F.col("centre")))
+    return written(shared.where("fits or open").drop("centre_n", "centre_at"), "buckets")
 
 
 def links(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
@@ -189,7 +192,7 @@ def open_pairs(members: DataFrame, shared: DataFrame, like: Similarity) -> DataF
     spans = members.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     # A group of several components is like no other group.
     roots = spans.select("g", F.expr("if(low = high, low, -1 - g)").alias("root"))
-    places = shared.where("size > 2").select("s", "g", F.col("n").cast("int"), "at").join(roots, "g")
+    places = shared.where("open").select("s", "g", F.col("n").cast("int"), "at").join(roots, "g")
     several = places.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     places = written(places.join(several.where("low < high").select("s"), "s"), "open")
     x, y = places.alias("x"), places.alias("y")
