@@ -33,6 +33,26 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+MORE = SENTENCE.replace("Here", "There")
+NAMED = [
+    (f"<article><h2 id='related-work'>Related work</h2><p>{SENTENCE}</p></article>", f"Related work\n{SENTENCE}"),
+    (f"<article><p>{SENTENCE}</p><section id='search'><p>{MORE}</p></section></article>", f"{SENTENCE}\n{MORE}"),
+    (f"<article id='copyright-law'><p>{SENTENCE}</p></article>", SENTENCE),
+    ("<article><p>One <span class='search-hit'>word</span> of a sentence, found.</p></article>", "One word of a sentence, found."),
+    (f"<article><p>{SENTENCE}</p><p class='form'>{MORE}</p></article>", f"{SENTENCE}\n{MORE}"),
+    (f"<div class='page-content with-sidebar'><h2>A</h2><p>{SENTENCE}</p><p>{MORE}</p></div><div><p>Short.</p></div>", f"A\n{SENTENCE}\n{MORE}"),
+    (f"<div class='notice'>{f'<p>{SENTENCE}</p>' * 30}</div><div><a href=x>{MORE}</a></div>", "\n".join([SENTENCE] * 30)),
+    (f"<article><p>{SENTENCE} <math><mi>x</mi><annotation>\\x</annotation></math></p></article>", f"{SENTENCE} x"),
+    (f"<main><h1>Title</h1><p>{MORE}</p><article><p>{SENTENCE}</p></article></main>", f"Title\n{MORE}\n{SENTENCE}"),
+    (f"<main><article><p>{SENTENCE}</p><p>{SENTENCE}</p></article><div class='related'><p>{MORE}</p></div></main><div><p>{MORE}</p></div>", f"{SENTENCE}\n{SENTENCE}"),
+]
+
+
+@pytest.mark.parametrize("html, text", NAMED)
+def test_names_do_not_drop_text_of_the_article(html, text):
+    assert main_text(html) == text
+
+
 def test_extract(spark):
     rows = [(i, f"u{i}", h) for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>x</p>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -17,12 +17,12 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-#: Elements that hold no article text.
+#: Elements that hold no article text. Of formulas only the annotations repeat what is shown.
 DROPPED = frozenset(
-    "aside button canvas datalist dialog footer form head header iframe input label math menu meter nav noscript object "
+    "annotation annotation-xml aside button canvas datalist dialog footer form head header iframe input label menu meter nav noscript object "
     "option progress script select style svg template textarea title video audio".split()
 )
-#: Words of a class, id or role that mark page furniture.
+#: Words of a class, id or role that mark page furniture. What is named so weighs little, and goes unless the best container is in it.
 FURNITURE = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
     "adsbygoogle adsense adslot adunit banner notice notices notification notifications announcement alert dialog popup modal "
@@ -30,13 +30,26 @@ FURNITURE = frozenset(
     "pagination footer colophon copyright masthead toolbar share sharing social newsletter subscribe subscription signup login "
     "form skip related recommended widget comment comments reply replies respond disqus contentinfo complementary search".split()
 )
+#: Of these, an id says nothing: it may name the subject of a section.
+SUBJECTS = frozenset(
+    "ad ads advert advertising sponsor promotion cookie cookies consent gdpr banner notice notices notification notifications "
+    "announcement alert dialog menu menus navigation pagination copyright share sharing social newsletter subscription login "
+    "form skip related recommended comment reply respond complementary search header".split()
+)
+#: What follows one of these is a part that the element has and not its own kind: "with-sidebar".
+HAVING = frozenset("has have with without no".split())
 #: With one of these, such a word may describe a frame around the article: "layout has-sidebar".
-FRAME = frozenset("has with without no layout wrapper wrap container page content main row col column grid site".split())
+FRAME = frozenset("layout wrapper wrap container page content main row col column grid site".split())
 #: With one of these beside it, "header" names the head of the article and not of the page.
 OWN_HEAD = frozenset("article post entry story content title".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table div article section body".split())
 WHOLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Text of their own: names do not count against these, nor against inline elements.
+UNNAMED = HEADINGS | {"p", "blockquote", "pre", "html", "body"}
+#: What text counts outside an element that is named as furniture, and in its points.
+NAMED_WEIGHT = 0.1
 LEAST, PER_CHARS, MOST = 25, 100, 3
 SIBLING_SHARE, LINKED = 0.2, 0.25
 WORDS = re.compile(r"[a-z]+")
@@ -44,33 +57,41 @@ WORDS = re.compile(r"[a-z]+")
 
 def _furniture(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
     """Whether an element is named as page furniture, and whether it may be a frame all the same."""
-    said = [v for k, v in attrs if k in ("class", "id", "role") and v]
-    if not said:
-        return False, False
-    found = set(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(said)).lower()))
-    named = not found.isdisjoint(FURNITURE) or ("header" in found and found.isdisjoint(OWN_HEAD))
-    return named, named and not found.isdisjoint(FRAME)
+    named = frame = False
+    for key, value in attrs:
+        if key not in ("class", "id", "role") or not value:
+            continue
+        parts = [WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()) for part in value.split()]
+        found = {w for part in parts for w in part[: next((i for i, w in enumerate(part) if w in HAVING), len(part))]}
+        frame |= not found.isdisjoint(FRAME)
+        if key == "id":  # a slug of other words is a title
+            named |= found <= FURNITURE | FRAME and not found.isdisjoint(FURNITURE - SUBJECTS)
+        else:
+            named |= not found.isdisjoint(FURNITURE) or ("header" in found and found.isdisjoint(OWN_HEAD))
+    return named, named and frame
 
 
 class Page(HTMLParser):
     """Block elements of a page as a tree, and its text in page order.
 
-    Inline elements are no nodes unless they are links or furniture, so unclosed ones do no harm.
+    Inline elements are no nodes unless they are links or hold no text of the article, so unclosed ones do no harm.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.dropped, self.linked, self.frames = ["#"], [0], [False], [False], [False]
+        self.tags, self.parents, self.dropped, self.linked = ["#"], [0], [False], [False]
+        self.named, self.frames = [False], [False]
         self.open = [0]
         self.block = 0
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
 
-    def _push(self, tag: str, dropped: bool, frame: bool) -> None:
+    def _push(self, tag: str, named: bool, frame: bool) -> None:
         top = self.open[-1]
         self.open.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(top)
-        self.dropped.append(dropped)
+        self.dropped.append(tag in DROPPED)
+        self.named.append(named)
         self.frames.append(frame)
         self.linked.append(tag == "a" or self.linked[top])
 
@@ -92,10 +113,9 @@ class Page(HTMLParser):
             self._close(CLOSED_BY[tag], SCOPES - CLOSED_BY[tag])
         if tag in ("br", "td", "th"):
             self.texts.append((self.open[-1], self.block, " "))
-        named, frame = (False, False) if tag in ("html", "body") else _furniture(attrs)
-        dropped = named or tag in DROPPED
-        if tag not in VOID and (dropped or tag in BLOCKS or tag == "a"):
-            self._push(tag, dropped, frame and tag not in DROPPED)
+        if tag not in VOID and (tag in DROPPED or tag in BLOCKS or tag == "a"):
+            named, frame = _furniture(attrs) if tag in BLOCKS and tag not in UNNAMED else (False, False)
+            self._push(tag, named, frame)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,12 +131,12 @@ class Page(HTMLParser):
 
 
 def _settle(page: Page) -> None:
-    """Keep frames around an article, then drop all that is inside a dropped element."""
+    """Keep frames around an article, and drop all that is inside a dropped element."""
     for i, tag in enumerate(page.tags):
-        if (tag in WHOLE or tag == "h1") and not page.dropped[i]:
+        if (tag in WHOLE or tag == "h1") and not page.named[i]:
             above = page.parents[i]
             while above:
-                page.dropped[above] &= not page.frames[above]
+                page.named[above] &= not page.frames[above]
                 above = page.parents[above]
     for i in range(1, len(page.tags)):
         page.dropped[i] |= page.dropped[page.parents[i]]
@@ -129,10 +149,13 @@ def _holder(page: Page, node: int) -> int:
     return node
 
 
-def _scores(page: Page) -> tuple[list[float], list[int], list[int]]:
-    """Points, characters and characters in links of every node."""
+def _scores(page: Page) -> tuple[list[float], list[float], list[float]]:
+    """Points, characters and characters in links of every node; what is named as furniture adds little to those above."""
     count = len(page.tags)
-    points, chars, links = [0.0] * count, [0] * count, [0] * count
+    points, chars, links = [0.0] * count, [0.0] * count, [0.0] * count
+    weight = [1.0] * count  # of a text, with all names around it
+    for i in range(1, count):
+        weight[i] = weight[page.parents[i]] * (NAMED_WEIGHT if page.named[i] else 1)
     paragraphs: dict[int, tuple[int, list[str]]] = {}
     for node, block, text in page.texts:
         if not page.dropped[node] and not text.isspace():
@@ -141,13 +164,14 @@ def _scores(page: Page) -> tuple[list[float], list[int], list[int]]:
             links[node] += size * page.linked[node]
             paragraphs.setdefault(block, (_holder(page, node), []))[1].append(text)
     for node in range(count - 1, 0, -1):  # children come after their parents
-        chars[page.parents[node]] += chars[node]
-        links[page.parents[node]] += links[node]
+        passed = NAMED_WEIGHT if page.named[node] else 1
+        chars[page.parents[node]] += chars[node] * passed
+        links[page.parents[node]] += links[node] * passed
     for holder, pieces in paragraphs.values():
         text = "".join(pieces)
         if len(text) < LEAST:
             continue
-        given = 1 + text.count(",") + text.count("，") + min(len(text) / PER_CHARS, MOST)
+        given = weight[holder] * (1 + text.count(",") + text.count("，") + min(len(text) / PER_CHARS, MOST))
         at = holder if page.tags[holder] in ("div", "section", "article", "main", "body", "#") else page.parents[holder]
         while True:  # half as much for each step up
             points[at] += given
@@ -157,6 +181,14 @@ def _scores(page: Page) -> tuple[list[float], list[int], list[int]]:
     return points, chars, links
 
 
+def _inside_whole(page: Page, node: int) -> bool:
+    """Whether an article or main holds ``node`` but is not it."""
+    node = page.parents[node]
+    while node and page.tags[node] not in WHOLE:
+        node = page.parents[node]
+    return bool(node)
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main container and its qualifying siblings, in page order, one per line."""
     page = Page()
@@ -170,17 +202,24 @@ def main_text(html: str | None) -> str:
     best = max(usable, key=lambda i: (value[i], -i))
     if not value[best]:  # no paragraph: the first whole article, else all there is
         best = next((i for i in usable if page.tags[i] in WHOLE), 0)
-    roots, above = {best}, best
+    above, around = best, best
+    while around:  # the best container is an article's, whatever it and those around it are called
+        page.named[around], around = False, page.parents[around]
+    for i in range(1, len(points)):
+        page.dropped[i] |= page.named[i] or page.dropped[page.parents[i]]
     while above and page.tags[above] not in WHOLE:
         above = page.parents[above]
-    if above:
-        roots = {above}
-    elif best:
+    top = above or best
+    roots = {top}
+    while top and page.tags[top] != "main":
         for i in usable:
-            if i and page.parents[i] == page.parents[best] and i != best and thin[i] > 1 - LINKED:
-                heading = page.tags[i] in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre")
-                if heading or value[i] >= SIBLING_SHARE * value[best]:
+            if i and page.parents[i] == page.parents[top] and i != top and not page.dropped[i] and thin[i] > 1 - LINKED:
+                text = page.tags[i] in HEADINGS or page.tags[i] in ("p", "blockquote", "pre")
+                if text or value[i] >= SIBLING_SHARE * value[best]:
                     roots.add(i)
+        top = page.parents[top]
+        if not _inside_whole(page, top):
+            break
     kept = [False] * len(points)
     blocks: dict[int, list[str]] = {}
     for i in range(len(points)):
