@@ -199,3 +199,26 @@ def test_neighbours(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-9)
     assert set(got) == {i for i in usable if i % 5 == 0}
     assert nearest(df.where("false"), F.col("vec_id") % 5 == 0, 4).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["doubled", "copies", "many vectors of one id"])
+def test_neighbours_of_repeated_ids(spark, kind):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
+    if kind == "doubled":
+        rows *= 2
+    elif kind == "copies":
+        rows = rows * 6 + [(100, rows[0][1]), (101, rows[5][1])]
+    else:
+        rows += [(0, (np.array(rows[0][1]) + rng.normal(size=4) / 50).tolist()) for _ in range(30)] + [(5, rows[0][1])] * 9
+        rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got: dict = {}
+    for r in nearest(df, F.col("vec_id") % 5 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    for q in {i for i, _ in rows if i % 5 == 0}:
+        vectors = [np.array(v) for v in {tuple(v) for i, v in rows if i == q}]
+        scores = [(-round(float(own @ np.array(v) / np.sqrt((own @ own) * (np.array(v) @ np.array(v)))), 9), i) for own in vectors for i, v in rows if i != q]
+        assert got[q] == [(i, -s) for s, i in sorted(scores)[:5]]

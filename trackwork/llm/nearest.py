@@ -52,8 +52,11 @@ def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x.astype(wide) @ y.astype(wide).T).astype(np.float64)
 
 
-def tile(queries: np.ndarray, candidates: np.ndarray, k: int):
-    """Pairs of a tile that may be among the k best of their query: (query row, candidate row, score)."""
+def tile(queries: np.ndarray, candidates: np.ndarray, k: int, asking: np.ndarray, owner: np.ndarray):
+    """Pairs of a tile that may be among the k best of their query: (query row, candidate row, score).
+
+    A query takes no candidate whose ``owner`` is its ``asking``.
+    """
     qx, sx, ex = quantised(queries)
     qy, sy, ey = quantised(candidates)
     for top in range(0, len(queries), STRIP):
@@ -61,8 +64,10 @@ def tile(queries: np.ndarray, candidates: np.ndarray, k: int):
         near = _product(qx[own], qy) * sx[own, None] * sy[None, :]
         room = ex[own, None] + ey[None, :] * (1 + ex[own, None]) + SLACK
         low = near - room
+        barred = asking[own, None] == owner[None, :]
+        low[barred] = -np.inf
         limit = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
-        rows, columns = np.nonzero(near + room >= limit[:, None])
+        rows, columns = np.nonzero((near + room >= limit[:, None]) & ~barred)
         for start in range(0, len(rows), 1 << 14):
             x, y = rows[start : start + (1 << 14)] + top, columns[start : start + (1 << 14)]
             yield x, y, cosines(queries[x], candidates[y])
@@ -99,31 +104,40 @@ def nearest(
     vectors and null ids take no part; vectors are compared with those of the same length only. Rows
     that repeat an id are rows of their own as candidates, but not as neighbours of that id. Equal
     vectors meet the queries once: of each only the k + 1 smallest ids can be results, and those are
-    joined at the end. An empty table gives no rows; other columns are not read.
+    joined at the end. A vector that only the query's own id holds is left out before anything is cut. An empty table gives no rows; other columns are not read.
     """
     id_kind = kind(vectors, id_column)
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("v", F.col("v").cast("array<double>"))
     # -0.0 and 0.0 are one value to a group, so equal keys are equal vectors.
-    counted = rows.groupBy("v").agg(F.max("q").alias("asked"))
+    counted = rows.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     distinct = written(counted.withColumn("c", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vectors")
+    # No id gives more than k results, and without any one id there are k among the k + 1 smallest.
+    held = rows.groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
     first = Window.partitionBy("v").orderBy("id")
-    smallest = rows.select("v", "id").withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
-    holders = written(smallest.join(distinct.select("v", "c"), "v").select("c", "id"), "holders")
+    smallest = held.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
+    holders = written(smallest.join(distinct.select("v", "c"), "v").select("c", "id", "copies"), "holders")
+    # Ids that alone hold some vector have a number; only they need queries of their own.
+    alone = distinct.where("low = high").select("c", F.col("low").alias("id"))
+    owners = written(alone.groupBy("id").agg(F.min("c").alias("own")), "owners")
+    offers = alone.join(owners, "id").select("c", "own")
+    offers = distinct.select("c", "dim", "v").join(offers, "c", "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    queries = rows.where("q").select("v", "id").distinct().join(distinct.select("v", "c"), "v").join(owners, "id", "left")
+    queries = written(queries.select(F.col("id").alias("query_id"), "c", F.coalesce("own", F.lit(-2)).alias("own")), "queries")
+    asks = queries.select("c", "own").distinct().join(distinct.select("c", "dim", "v"), "c")
 
     def packed(frame: DataFrame) -> tuple[DataFrame, int]:
         """(dim, block, rows) of about ``BLOCK`` vectors each, dealt by hash, and the number of blocks."""
         blocks = max(1, -(-frame.count() // BLOCK))
-        dealt = frame.select("dim", F.pmod(F.xxhash64("c"), F.lit(blocks)).alias("block"), F.struct("c", "v").alias("row"))
+        dealt = frame.select("dim", F.pmod(F.xxhash64("c", "own"), F.lit(blocks)).alias("block"), F.struct("c", "own", "v").alias("row"))
         return dealt.groupBy("dim", "block").agg(F.collect_list("row").alias("rows")), blocks
 
-    asked, askings = packed(distinct.where("asked"))
-    offered, offerings = packed(distinct)
+    asked, askings = packed(asks)
+    offered, offerings = packed(offers)
     # A tile gets a copy of its two blocks, so that tiles are dealt evenly.
     asked = asked.toDF("dim", "asking", "queries").withColumn("offering", F.explode(F.sequence(F.lit(0), F.lit(offerings - 1))))
     offered = offered.toDF("dim", "offering", "candidates").withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(askings - 1))))
     tiles = offered.join(asked, ["dim", "asking", "offering"])
-    most = k + 1  # one more: a query's own vector is among them
 
     def search(batches):
         for batch in batches:
@@ -131,21 +145,25 @@ def nearest(
                 queries, candidates = (batch.column(c)[i].values for c in (0, 1))
                 qc, cc = (side.field("c").to_numpy() for side in (queries, candidates))
                 x, y = (_matrix(side.field("v")) for side in (queries, candidates))
-                heaps = merged(tile(x, y, most), len(qc), most)
-                found = [(qc[q], cc[c], s) for q, heap in enumerate(heaps) for s, c in heap]
-                columns = list(zip(*found)) or [[], [], []]
-                kinds = (pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["qc", "c", "score"])
-
-    pairs = tiles.select("queries", "candidates").mapInArrow(search, "qc bigint, c bigint, score double")
-    ranked = Window.partitionBy("qc").orderBy(F.col("score").desc())
+                asking, owner = (side.field("own").to_numpy() for side in (queries, candidates))
+                heaps = merged(tile(x, y, k, asking, owner), len(qc), k)
+                found = [(qc[q], asking[q], cc[c], s) for q, heap in enumerate(heaps) for s, c in heap]
+                columns = list(zip(*found)) or [[], [], [], []]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["qc", "own", "c", "score"])
+
+    pairs = tiles.select("queries", "candidates").mapInArrow(search, "qc bigint, own bigint, c bigint, score double")
+    ranked = Window.partitionBy("qc", "own").orderBy(F.col("score").desc())
     # rank() keeps every vector tied with the last place: ids decide among those.
-    pairs = written(pairs.withColumn("place", F.rank().over(ranked)).where(F.col("place") <= k + 1).drop("place"), "near")
-    options = pairs.join(holders, "c").select("qc", "score", "id")
-    by_query = Window.partitionBy("qc").orderBy(F.col("score").desc(), "id")
-    options = options.withColumn("at", F.row_number().over(by_query)).where(F.col("at") <= k + 1).drop("at")
-    queries = rows.where("q").select("v", F.col("id").alias("query_id")).join(distinct.select("v", F.col("c").alias("qc")), "v")
-    out = queries.select("query_id", "qc").distinct().join(options, "qc").where("id <> query_id")
+    pairs = written(pairs.withColumn("place", F.rank().over(ranked)).where(F.col("place") <= k).drop("place"), "near")
+    options = pairs.join(holders, "c").select("qc", "own", "score", "id", "copies")
+    # k of each id, then 2 k of all: whichever id asks, k of others are among them.
+    by_id = Window.partitionBy("qc", "own", "id").orderBy(F.col("score").desc())
+    options = options.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= k)
+    by_query = Window.partitionBy("qc", "own").orderBy(F.col("score").desc(), "id")
+    options = options.withColumn("at", F.row_number().over(by_query)).where(F.col("at") <= 2 * k).drop("at")
+    out = queries.withColumnRenamed("c", "qc").join(options, ["qc", "own"]).where("id <> query_id")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     out = out.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").cast(id_kind).alias("vec_id"), "score")
