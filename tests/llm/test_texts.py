@@ -7,7 +7,8 @@ from cases import LONG, PLAIN, documents, empty
 from trackwork.llm.chat import rotate
 from trackwork.llm.html_text import extract, main_text
 from trackwork.llm.license_scan import align, hashes, scan_licenses, winnowed
-from trackwork.llm.quality import LABELLERS, accepted, estimate, fit
+from trackwork.llm import quality
+from trackwork.llm.quality import LABELLERS, Lists, Marks, Text, accepted, estimate, fit, signals
 
 SENTENCE = "Here is a sentence, with a comma or two, that is long enough."
 PAGES = [
@@ -144,6 +145,14 @@ def test_quality_on_held_out_labels(spark):
     assert sum(junk) / len(junk) < 0.1
 
 
+def test_abuse_is_told_by_the_share_of_learned_words():
+    abuse = sum(1 << LABELLERS.index(name) for name in quality.DEFECTS["abuse"])
+    marks = Marks(Lists(frozenset(["zorb"]), frozenset(["blim"])))
+    assert signals(Text("you are a zorb and a blimmer too"), marks) & abuse == abuse
+    assert signals(Text(PLAIN * 200 + " zorb blimmer"), marks) & abuse == 0
+    assert signals(Text("you idiot, you stupid clown, you trash"), Marks(Lists(frozenset(), frozenset()))) & abuse == 0
+
+
 def test_quality_of_awkward_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id bigint, toxic int")

@@ -29,8 +29,6 @@ from trackwork.llm.tokens import slices
 #: Bounds of what the models are fitted on; documents are chosen by a hash of their id.
 LABELLED = 30_000
 TRAINED = 20_000
-#: Terms of a learned word list, most frequent first.
-LISTED = 5_000
 #: A listed word needs so many different neighbours in abusive documents, and may have so many clean
 #: documents for each; of all words, so many may be listed by chance. A stem begins so many different words.
 SUPPORT, IMPURITY, BY_CHANCE = 3, 0.02, 0.5
@@ -44,15 +42,15 @@ THRESHOLD = 0.5
 #: How often a labeller is expected to fire on good documents, and the share of all that this counts as seen.
 RARELY, PRIOR = 0.001, 1.0
 
-#: Common English insults.
-INSULTS = frozenset(b"clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+#: Shares of a text's words, copies counted, from which listed ones are a sign of abuse, and a strong one.
+SOME, MANY = 0.005, 0.01
 #: Labellers by defect, in the order of their bits.
 DEFECTS = {
     "shouting": ("capital_letters", "capital_words", "exclamations"),
     "symbols": ("symbol_share", "symbol_runs", "few_letters"),
     "tables": ("bar_words", "bar_lines"),
     "repetition": ("equal_neighbours", "few_distinct_words", "equal_lines"),
-    "abuse": ("insults", "listed_words", "listed_stems"),
+    "abuse": ("listed_words", "many_listed_words", "listed_stems"),
 }
 LABELLERS = [name for names in DEFECTS.values() for name in names]
 
@@ -78,7 +76,8 @@ class Text:
     def __init__(self, text: str | None):
         self.raw = (text or "").encode("utf-8", "replace")
         self.parts = self.raw.split()
-        self.words = set(words(self.raw))
+        self.every = words(self.raw)
+        self.words = set(self.every)
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -87,18 +86,24 @@ def words(raw: bytes) -> list[bytes]:
 
 
 class Marks:
-    """Looks for the three lists of abuse in a text's words."""
+    """Looks for the learned lists of abuse in a text's words."""
 
     def __init__(self, lists: Lists):
         self.listed = frozenset(w.encode() for w in lists.words)
-        self.stems = tuple(s.encode() for s in lists.stems)
+        self.stems = frozenset(s.encode() for s in lists.stems)
         self.heads = frozenset(s[:4] for s in self.stems)
+        self.sizes = sorted({len(s) for s in self.stems})
 
-    def __call__(self, found: set[bytes]) -> tuple[bool, bool, bool]:
-        stem = False
-        if self.stems and not self.heads.isdisjoint({w[:4] for w in found}):
-            stem = any(w.startswith(self.stems) for w in found)
-        return not INSULTS.isdisjoint(found), not self.listed.isdisjoint(found), stem
+    def __call__(self, text: Text) -> tuple[bool, bool, bool]:
+        listed = self._share(text, self.listed & text.words)
+        stems: set[bytes] = set()
+        if self.stems and not self.heads.isdisjoint({w[:4] for w in text.words}):
+            stems = {w for w in text.words if w[:4] in self.heads and any(w[:n] in self.stems for n in self.sizes)}
+        return listed >= SOME, listed >= MANY, self._share(text, stems) >= SOME
+
+    @staticmethod
+    def _share(text: Text, found: Collection[bytes]) -> float:
+        return sum(w in found for w in text.every) / len(text.every) if found else 0.0
 
 
 def signals(text: Text, marks: Marks) -> int:
@@ -121,7 +126,7 @@ def signals(text: Text, marks: Marks) -> int:
         n >= 10 and different < 0.75 * n + 1 and sum(map(eq, parts, islice(parts, 1, None))) > 0.3 * n,
         n >= 30 and different < 0.35 * n,
         len(lines) >= 4 and len(set(lines)) <= 0.5 * len(lines),
-        *marks(text.words),
+        *marks(text),
     )
     return sum(1 << i for i, fire in enumerate(fires) if fire)
 
@@ -175,10 +180,10 @@ def learn_lists(docs: DataFrame, labels: DataFrame, id_column: str, text: str, l
     stems = stems.agg(F.count(F.lit(1)).alias("words"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     stems = telling(stems.where(F.col("words") >= STEM_WORDS))
 
-    def top(frame, name):
-        return frozenset(r[0] for r in frame.orderBy(F.col("bad").desc(), name).limit(LISTED).select(name).collect())
+    def listed(frame, name):  # at most the words of the labelled rows
+        return frozenset(r[0] for r in frame.select(name).collect())
 
-    return Lists(top(telling(counted), "word"), top(stems, "stem"))
+    return Lists(listed(telling(counted), "word"), listed(stems, "stem"))
 
 
 def hash_pair(left: str, right: str) -> int:
@@ -334,6 +339,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
 
     No labeller fires on a null or empty text: it is kept. Null ids are kept by their text; they and null
     labels are not fitted on. Repeated rows get the same score. An empty table gives none; without labels only
-    the fixed list and the signs of junk count. Other columns are not read.
+    the signs of junk count. Other columns are not read.
     """
     return docs.where(reject_score(fit(docs, labels, id_column, text), F.col(text)) < threshold)
