@@ -153,6 +153,17 @@ def test_abuse_is_told_by_the_share_of_learned_words():
     assert signals(Text("you idiot, you stupid clown, you trash"), Marks(Lists(frozenset(), frozenset()))) & abuse == 0
 
 
+def test_hot_ids_are_fitted_on_like_all_others(spark):
+    rows = [(None, f"null {i}") for i in range(1000)] + [(7, f"hot {i}") for i in range(1000)] + [(8, "copy")] * 500 + [(i, f"text {i}") for i in range(100, 1600)]
+    for hot in (7, 12, 31):  # whichever id is hot
+        docs = documents(spark, [(hot if i == 7 else i, t) for i, t in rows])
+        chosen = quality.fitted_rows(docs, len(rows), 400, "doc_id", "text").collect()
+        assert all(r.id is not None for r in chosen)
+        assert 40 < sum(r.id == hot for r in chosen) < 160
+        assert len(chosen) == len({(r.id, r.text) for r in chosen}) < 400
+    assert len(quality.fitted_rows(docs, len(rows), len(rows), "doc_id", "text").collect()) == 2501
+
+
 def test_quality_of_awkward_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id bigint, toxic int")

@@ -26,7 +26,7 @@ from trackwork.llm.sketches import summed
 from trackwork.llm.tables import in_batches, written
 from trackwork.llm.tokens import slices
 
-#: Bounds of what the models are fitted on; documents are chosen by a hash of their id.
+#: Bounds of what the models are fitted on; documents are chosen by a hash of id and text.
 LABELLED = 30_000
 TRAINED = 20_000
 #: A listed word needs so many different neighbours in abusive documents, and may have so many clean
@@ -38,6 +38,8 @@ WORDS_WEIGHT = 0.3
 FEATURE_BITS = 18
 #: Passes over a part of the fitted documents, more where they are few; documents of a part; step size.
 EPOCHS, STEPS, PART, RATE = 8, 20_000, 2_500, 0.5
+#: Features that a task holds; with more, or ``PART`` documents, it fits and begins again.
+HELD = 1 << 21
 THRESHOLD = 0.5
 #: How often a labeller is expected to fire on good documents, and the share of all that this counts as seen.
 RARELY, PRIOR = 0.001, 1.0
@@ -133,6 +135,7 @@ def signals(text: Text, marks: Marks) -> int:
 
 def sampled(ids: Column, rows: int, bound: int) -> Column:
     """True for about ``bound`` of ``rows`` ids, by hash; for all of them if there are no more."""
+    # A null has a hash of its own: callers leave it out.
     return F.pmod(F.xxhash64(ids), F.lit(max(rows, 1))) < bound
 
 
@@ -263,6 +266,12 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(math.fsum((self.weights[at] * values).tolist()), -40), 40)))
 
 
+def fitted_rows(docs: DataFrame, rows: int, bound: int, id_column: str, text: str) -> DataFrame:
+    """About ``bound`` of ``rows`` rows at most, as (id, text): no null ids, equal rows once, rows of one id thinned like all others."""
+    own = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    return own.where(sampled(F.struct("id", "text"), rows, bound)).dropDuplicates(["id", "text"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED, trained: int = TRAINED) -> Model:
     """Word lists from at most about ``labelled`` labelled rows, label model from all documents, weights from ``trained`` of them."""
     lists = learn_lists(docs, labels, id_column, text, label, labelled)
@@ -291,12 +300,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     def train(batches):
         lists, weak = shared.value
         marks = Marks(lists)
-        weights, seen, examples = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-6), []
+        examples, held = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 read = Text(text)
                 pattern = signals(read, marks)
                 examples.append((*features(pattern, sorted(read.words)), float(weak.bad(np.array([pattern]))[0])))
+                held += len(examples[-1][0])
+                if held >= HELD or len(examples) >= 2 * PART:
+                    yield fitted(examples)
+                    examples, held = [], 0
+        if examples:
+            yield fitted(examples)
+
+    def fitted(examples):
+        weights, seen = np.zeros(1 << FEATURE_BITS), np.full(1 << FEATURE_BITS, 1e-6)
         for _ in range(max(EPOCHS, -(-STEPS // max(len(examples), 1)))):
             for at, values, wanted in examples:
                 got = 1 / (1 + np.exp(-np.clip(weights[at] @ values, -40, 40)))
@@ -304,9 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
                 seen[at] += step * step
                 weights[at] -= RATE * step / np.sqrt(seen[at])
         made = np.concatenate([weights * len(examples), [len(examples)]])
-        yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], names=["weights"])
+        return pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], names=["weights"])
 
-    chosen = docs.where(sampled(F.col(id_column), rows, trained)).select(F.col(id_column).alias("id"), value.alias("text"))
+    chosen = fitted_rows(docs, rows, trained, id_column, text)
     parts = -(-min(max(rows, 1), trained) // PART)
     chosen = chosen.repartition(parts, F.xxhash64("id", "text")).sortWithinPartitions("id", "text").select("text")
     total = summed(in_batches(chosen).mapInArrow(train, "weights binary"), "f8")
