@@ -100,6 +100,24 @@ def test_license_notices(spark):
     assert scan_licenses(empty(spark)).count() == 0
 
 
+def test_whole_texts_and_headers_of_usual_licenses():
+    from trackwork.llm.license_scan import BAND, COVERAGE, TEMPLATES, index, scan
+    from trackwork.llm.license_texts import WHOLE
+
+    known = index(TEMPLATES)
+
+    def names(text):
+        return [known.names[m.template] for m in scan(text, known, BAND, COVERAGE)]
+
+    for name, text in WHOLE:
+        assert names(f"{PLAIN}\n{text}\n{PLAIN}") == [name]
+    for name, text in TEMPLATES:
+        assert names(f"{PLAIN} {text} {PLAIN}") == [name]
+    for i in range(50):  # a template of three words is found whatever is beside it
+        assert names(f"left{i} l{i} All rights reserved. r{i} right{i}") == ["all-rights-reserved"]
+    assert names(PLAIN * 20) == []
+
+
 def test_fingerprints_meet_in_any_four_equal_words():
     rng = np.random.default_rng(1)
     for _ in range(200):

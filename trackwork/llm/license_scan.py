@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackwork.llm.license_texts import WHOLE
 from trackwork.llm.shingles import windows
 from trackwork.llm.tables import in_batches, kind
 from trackwork.llm.tokens import slices
@@ -24,7 +25,11 @@ GRAM, WINDOW = 3, 2
 BAND, COVERAGE = 8, 0.8
 TOKEN = re.compile(r"[^\W_]+")
 
-#: Usual notices of common licenses.
+_GNU = (
+    "you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software "
+    "Foundation, either version {} of the License, or (at your option) any later version."
+)
+#: Usual notices of common licenses, then their whole texts.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -54,6 +59,38 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("all-rights-reserved", "All rights reserved."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0-only",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by "
+        "the Free Software Foundation",
+    ),
+    ("GPL-2.0-or-later", _GNU.format("General Public", "2")),
+    ("LGPL-2.1-or-later", _GNU.format("Lesser General Public", "2.1")),
+    ("LGPL-3.0-or-later", _GNU.format("Lesser General Public", "3")),
+    ("AGPL-3.0-or-later", _GNU.format("Affero General Public", "3")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
+    ("ISC", "Licensed under the ISC License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    *WHOLE,
 )
 
 
@@ -93,6 +130,8 @@ class Index(NamedTuple):
     values: np.ndarray
     owners: np.ndarray
     places: np.ndarray
+    #: Fingerprints of templates that have no other: documents keep these too.
+    only: np.ndarray
 
 
 def index(templates) -> Index:
@@ -100,7 +139,24 @@ def index(templates) -> Index:
     every = [(v, i, p) for i, own in enumerate(words) for p, v in zip(*(x.tolist() for x in winnowed(own)))]
     every.sort()
     columns = list(zip(*every)) or [(), (), ()]
-    return Index([n for n, _ in templates], words, np.array(columns[0], np.uint64), np.array(columns[1], np.int64), np.array(columns[2], np.int64))
+    return Index([n for n, _ in templates], words, np.array(columns[0], np.uint64), np.array(columns[1], np.int64), np.array(columns[2], np.int64), np.concatenate([np.empty(0, np.uint64), *(windows(w, GRAM) for w in words if len(w) <= GRAM)]))
+
+
+def fingerprints(own: np.ndarray, known: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a document's fingerprints."""
+    at, values = winnowed(own)
+    if not len(known.only):
+        return at, values
+    grams = windows(own, GRAM)
+    alone = np.flatnonzero(np.logical_or.reduce([grams == v for v in known.only]))
+    return np.concatenate([at, alone]), np.concatenate([values, grams[alone]])
+
+
+def within(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> int:
+    """Words of the template that the band holds in any order: no fewer than in order."""
+    at = np.arange(len(template))[:, None] + np.arange(diagonal - band, diagonal + band + 1)
+    there = (at >= 0) & (at < len(doc))
+    return int(((doc[at.clip(0, len(doc) - 1)] == template[:, None]) & there).any(axis=1).sum())
 
 
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -130,20 +186,25 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tu
 def scan(text: str, known: Index, band: int, coverage: float) -> list[Match]:
     """Matches of a text's whole length, spans in characters; of overlapping ones the best."""
     own = hashes(tokens(text))
-    _, values = winnowed(own)
-    if not np.isin(values, known.values).any():
+    at, values = fingerprints(own, known)
+    low, high = (np.searchsorted(known.values, values, side) for side in ("left", "right"))
+    if (low == high).all():
         return []
     spans = [m.span() for m in TOKEN.finditer(text)]
     own = hashes([text[a:b].lower() for a, b in spans])
-    at, values = winnowed(own)
+    at, values = fingerprints(own, known)
     low, high = (np.searchsorted(known.values, values, side) for side in ("left", "right"))
-    hits = sorted({(int(known.owners[j]), int(p) - int(known.places[j])) for p, a, b in zip(at, low, high) for j in range(a, b)})
+    some = np.flatnonzero(low < high)
+    hits = sorted({(int(known.owners[j]), int(p) - int(known.places[j])) for p, a, b in zip(at[some], low[some], high[some]) for j in range(a, b)})
     found, tried = [], None
     for template, diagonal in hits:
         if tried and tried[0] == template and diagonal - tried[1] <= band // 2:
             continue  # the band around the last one covers it
         tried = (template, diagonal)
         words = known.words[template]
+        room = min(diagonal + len(words) + band, len(own)) - max(diagonal - band, 0)
+        if min(room, len(words)) < coverage * len(words) or within(words, own, diagonal, band) < coverage * len(words):
+            continue
         n, first, last = align(words, own, diagonal, band)
         if n >= coverage * len(words):
             found.append((n, Match(template, n / len(words), spans[first][0], spans[last - 1][1])))
