@@ -173,6 +173,16 @@ def test_contamination(spark):
     assert contaminated(documents(spark, rows), benchmark.where("false")).count() == 0
 
 
+def test_words_of_any_script():
+    passage = "今天天气很好我们去公园散步然后回家吃饭"
+    assert len(tokens(passage)) == len(passage)
+    within, alone = tokens(f"前文在此，“{passage}”。后文继续！").tolist(), tokens(passage).tolist()
+    assert any(within[i : i + len(alone)] == alone for i in range(len(within)))
+    assert tokens("«été» — “straße”, l’eau…").tolist() == tokens("été straße l eau").tolist()
+    assert len(tokens("สวัสดีครับ")) > 4 and len(tokens("हिन्दी में")) == 2 and len(tokens("ひらがなカタ")) == 6
+    assert tokens("a_b c-d 12").tolist() == tokens("a b c d 12").tolist()
+
+
 def test_seeds_are_shorter_than_any_match_that_counts():
     assert len(tokens(ITEM)) > SEED_WORDS
 

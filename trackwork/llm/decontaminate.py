@@ -9,6 +9,7 @@ passages in the document.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,13 @@ SEED_WORDS = 5
 COVERAGE = 0.5
 #: Bits of the filter that tells which seeds can be in the benchmark; 2 MB for any benchmark.
 FILTER_BITS = 24
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Scripts written without blanks; each letter is a word: Thai to Myanmar, Khmer, kana, Chinese characters.
+_SINGLE = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+#: Marks that belong to the letter before; a regex has no class for them.
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1FFFF)) if unicodedata.category(c) in ("Mn", "Mc"))
+ASCII_WORD = re.compile(rb"[0-9a-z]+")
+SINGLE = re.compile(f"(?!\\W)[{_SINGLE}][{_MARKS}]*")
+WORD = re.compile(f"\\w[\\w{_MARKS}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -51,8 +58,12 @@ class Running:
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text: letters and digits, in lower case."""
-    return word_hashes(WORD.findall((text or "").lower().encode("utf-8", "replace")))
+    """Hashes of the words of a text: letters and digits of any script, in lower case; single letters where a script has no blanks."""
+    lower = (text or "").lower()
+    if lower.isascii():
+        return word_hashes(ASCII_WORD.findall(lower.encode()))
+    lower = SINGLE.sub(r" \g<0> ", lower.replace("_", " "))
+    return word_hashes(" ".join(WORD.findall(lower)).encode("utf-8", "replace").split())
 
 
 def _free(marked: np.ndarray, size: int) -> np.ndarray:
