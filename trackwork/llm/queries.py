@@ -13,6 +13,7 @@ from trackwork.llm.license_scan import scan_licenses
 from trackwork.llm.materialise import materialise, shard_folder
 from trackwork.llm.nearest import nearest
 from trackwork.llm.packing import pack
+from trackwork.llm.prefix_trie import TRIE_SQL, prefix_trie
 from trackwork.llm.quality import THRESHOLD, scored
 from trackwork.llm.tables import table
 from trackwork.llm.token_counts import count_tokens
@@ -77,6 +78,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(docs, vocabulary(WORD_BPE), shard_folder(spark), length=ORDER_TOKENS, end_id=END_ID, key=ORDER_KEY)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
         op1_perspective_rotation,
         op2_html_tree_scoring,
@@ -88,7 +94,8 @@ QUERIES = {f.__name__: f for f in (
         op8_license_scan,
         op9_benchmark_tiling,
         op10_training_order,
+        op12_prefix_trie,
     )}
 
 #: The others read markup, tokens or trained models; tests compare them with brute force.
-ORACLE: dict[str, str] = {"op1_perspective_rotation": ROTATE_SQL}
+ORACLE: dict[str, str] = {"op1_perspective_rotation": ROTATE_SQL, "op12_prefix_trie": TRIE_SQL}
