@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackwork.llm.chat import ROTATE_SQL, rotate
 from trackwork.llm.decontaminate import contaminated
+from trackwork.llm.hard_negatives import MINE_SQL, mine
 from trackwork.llm.html_text import extract
 from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.license_scan import scan_licenses
@@ -18,6 +19,7 @@ from trackwork.llm.quality import THRESHOLD, scored
 from trackwork.llm.tables import table
 from trackwork.llm.token_counts import count_tokens
 from trackwork.llm.tokens import vocabulary
+from trackwork.llm.toxicity import toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
@@ -78,11 +80,22 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(docs, vocabulary(WORD_BPE), shard_folder(spark), length=ORDER_TOKENS, end_id=END_ID, key=ORDER_KEY)
 
 
+def op11_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all rebuilt conversations."""
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100, for each of its 5 positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabelled=label)
+
+
 QUERIES = {f.__name__: f for f in (
         op1_perspective_rotation,
         op2_html_tree_scoring,
@@ -94,8 +107,10 @@ QUERIES = {f.__name__: f for f in (
         op8_license_scan,
         op9_benchmark_tiling,
         op10_training_order,
+        op11_string_kernel_toxicity,
         op12_prefix_trie,
+        op13_hard_negatives,
     )}
 
 #: The others read markup, tokens or trained models; tests compare them with brute force.
-ORACLE: dict[str, str] = {"op1_perspective_rotation": ROTATE_SQL, "op12_prefix_trie": TRIE_SQL}
+ORACLE: dict[str, str] = {"op1_perspective_rotation": ROTATE_SQL, "op12_prefix_trie": TRIE_SQL, "op13_hard_negatives": MINE_SQL}
