@@ -78,6 +78,14 @@ def word_counts(key: str, text: str, table: str) -> str:
         WHERE w <> '' GROUP BY ALL"""
 
 
+def terms_of(key: str, table: str) -> str:
+    """Words of every text with their counts."""
+    return rf"""
+        SELECT {key}, term, count(*) AS n
+        FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM {table})
+        WHERE term <> '' GROUP BY ALL"""
+
+
 def best_chunks(words: str, k: int) -> str:
     """The k chunks of the highest cosine of word counts."""
     return f"""
@@ -313,8 +321,25 @@ CTES = {
         FROM hits JOIN (SELECT *, raw AS body FROM pages_of) ON chunk_id = page""",
     "chunk_words": word_counts("chunk_id", "'passage: ' || text", "chunked"),
     "chunk_norms": "SELECT chunk_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM chunk_words GROUP BY chunk_id",
-    "question_words": word_counts("item_id", "'query: ' || text", "benchmark"),
-    "question_hits": best_chunks("question_words", 4),
+    "hashed_question_words": word_counts("item_id", "'query: ' || text", "benchmark"),
+    "hashed_question_hits": best_chunks("hashed_question_words", 4),
+    "chunk_terms": terms_of("chunk_id", "chunked"),
+    "rarities": """
+        SELECT term, ln((SELECT count(*) + 1 FROM chunked)::DOUBLE / (count(*) + 1)) AS idf FROM chunk_terms GROUP BY term""",
+    "chunk_weights": """
+        SELECT chunk_id, term, n * idf AS w, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY chunk_id)) AS length
+        FROM chunk_terms JOIN rarities USING (term)""",
+    "question_terms": terms_of("item_id", "benchmark"),
+    "question_weights": """
+        SELECT item_id, term, w, sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS length
+        FROM (SELECT item_id, term, n * coalesce(idf, ln((SELECT count(*) + 1 FROM chunked)::DOUBLE)) AS w
+              FROM question_terms LEFT JOIN rarities USING (term))""",
+    "question_hits": """
+        SELECT item_id AS query_id, chunk_id, round(score, 6) AS score,
+               row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id)::INT AS rank
+        FROM (SELECT item_id, chunk_id, round(sum(q.w / q.length * (c.w / c.length)), 12) AS score
+              FROM question_weights q JOIN chunk_weights c USING (term) WHERE q.w > 0 AND c.w > 0 GROUP BY ALL)
+        QUALIFY rank <= 4""",
     "first_said": "SELECT conv_id AS item_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "said_words": word_counts("item_id", "'query: ' || text", "first_said"),
     "said_hits": best_chunks("said_words", 2),
@@ -633,12 +658,15 @@ STATEMENTS = {
     "citations": """
         SELECT query_id, string_agg(source_title || ', ' || section || ', ' || page, '; ' ORDER BY rank) AS citations
         FROM cited GROUP BY query_id""",
+    "approximate_recall": """
+        SELECT count(*) * least(4, (SELECT count(*) FROM embeddings)) AS wanted, 1 AS enough FROM embeddings WHERE vec_id % 20 = 0""",
     "rag_fallback": f"""
         SELECT q.query_id, (context IS NOT NULL)::INT AS matched,
                coalesce(context, '{fv.NO_MATCH_ANSWER.replace("'", "''")}') AS context
         FROM (SELECT DISTINCT conv_id AS query_id FROM conversations) q
         LEFT JOIN contexts c ON c.query_id = q.query_id""",
     "question_topk": "SELECT * FROM question_hits",
+    "hashed_question_topk": "SELECT * FROM hashed_question_hits",
     "question_context": f"""
         SELECT query_id, string_agg({EXCERPT}, chr(10) ORDER BY rank) AS context,
                string_agg(source_title || ', ' || coalesce(section, 'N/A') || ', ' || page, '; ' ORDER BY rank) AS citations

@@ -17,9 +17,11 @@ from trackwork.operators import (
     explain,
     features,
     labels,
+    lsh,
     model,
     retrieval,
     schedule,
+    sparse,
 )
 from trackwork.plans import forecast, quality, views
 from trackwork.session import scratch_path
@@ -587,6 +589,25 @@ def vector_topk(spark, sf):
     return shown(centroid_hits(spark, sf), score=4)
 
 
+def near_vectors(spark, sf):
+    """Every twentieth vector as a query against all."""
+    corpus = st.chunk_vectors(spark, sf)
+    return corpus.where(F.col("chunk_id") % 20 == 0).withColumnRenamed("chunk_id", "query_id"), corpus
+
+
+@query
+def approximate_topk(spark, sf):
+    return lsh.approximate_top_k(*near_vectors(spark, sf), k=4)
+
+
+@query
+def approximate_recall(spark, sf):
+    """How many of the exact results the approximate search has to find, and whether it finds nine tenths."""
+    asked, corpus = near_vectors(spark, sf)
+    found = lsh.recall(retrieval.top_k_similar(asked, corpus, 4), lsh.approximate_top_k(asked, corpus, 4))
+    return found.select("wanted", (F.col("recall") >= 0.9).cast("int").alias("enough"))
+
+
 @query
 def rag_context(spark, sf):
     return retrieval.rag_context(cited_hits(spark, sf))
@@ -618,16 +639,34 @@ def best_chunks(spark, sf, asked, k):
     return hits.join(found, "chunk_id")
 
 
+def question_hits(spark, sf):
+    """The four chunks nearest to each question by words weighted by rarity."""
+
+    def build():
+        index = sparse.build_index(once(spark, sf, "chunks", lambda: rule_chunks_of(spark, sf)))
+        return sparse.search(st.questions(spark, sf), index, 4)
+
+    return once(spark, sf, "question-hits", build)
+
+
 @query
 def question_topk(spark, sf):
-    """Text retrieval end to end: questions and chunks embedded, then the four best chunks."""
+    """Text retrieval end to end: chunks indexed by their words, then the four best for each question."""
+    index = sparse.build_index(once(spark, sf, "chunks", lambda: rule_chunks_of(spark, sf)))
+    return sparse.search(st.questions(spark, sf), index, 4)
+
+
+@query
+def hashed_question_topk(spark, sf):
+    """The same with dense vectors of hashed words, all alike."""
     return best_chunks(spark, sf, st.questions(spark, sf), 4).select("query_id", "chunk_id", "score", "rank")
 
 
 @query
 def question_context(spark, sf):
     """Contexts and citations of the questions, from the chunks found."""
-    hits = best_chunks(spark, sf, st.questions(spark, sf), 4)
+    found = once(spark, sf, "chunks", lambda: rule_chunks_of(spark, sf))
+    hits = question_hits(spark, sf).join(found, "chunk_id")
     line = F.transform("citations", lambda c: F.concat_ws(", ", c["source"], c["section"], c["page"]))
     cited = retrieval.citations(hits).select("query_id", F.array_join(line, "; ").alias("citations"))
     return retrieval.rag_context(hits).join(cited, "query_id")
