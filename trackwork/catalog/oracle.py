@@ -721,6 +721,11 @@ STATEMENTS = {
     "model_attribution_checks": f"""
         SELECT least(count(*), {fv.EXPLAIN_ROWS}) AS rows_explained, 0 AS rows_off FROM labelled
         WHERE {md5_int(KEYED_42, 2)} % 100 >= 80 AND {md5_int(KEYED_42, 3)} < {int(fv.EXPLAIN_FRACTION * 2**32)}""",
+    "exact_attribution_checks": f"""
+        SELECT least(count(*), {fv.EXPLAIN_ROWS}) AS rows_explained, 0 AS rows_off FROM labelled
+        WHERE {md5_int(KEYED_42, 2)} % 100 >= 80 AND {md5_int(KEYED_42, 3)} < {int(fv.EXPLAIN_FRACTION * 2**32)}""",
+    "table_score_checks": f"""
+        SELECT count(*) AS rows_scored, 0 AS rows_off FROM labelled WHERE {md5_int(KEYED_42, 2)} % 100 >= 80""",
     "partitioned_by_zone": """
         SELECT coalesce(zone, '') AS zone, count(*) AS stops, round(avg(arrival_delay_min), 3) AS avg_delay
         FROM labelled GROUP BY ALL""",

@@ -22,6 +22,7 @@ from trackwork.operators import (
     retrieval,
     schedule,
     sparse,
+    trees,
 )
 from trackwork.plans import forecast, quality, views
 from trackwork.session import scratch_path
@@ -764,6 +765,47 @@ def model_attribution_checks(spark, sf):
     return sums.agg(F.count(F.lit(1)).alias("rows_explained"), F.count_if(off).alias("rows_off"))
 
 
+def exact(spark, sf):
+    """Exact attributions of the explained rows, against all rows the model was fitted on."""
+
+    def build() -> DataFrame:
+        ensemble, test, train = fitted(spark, sf)
+        rows = features.hash_sample(test.withColumn("row_id", F.concat_ws("|", "train_no", "stop_seq")))
+        return trees.exact_attributions(ensemble, rows, train)
+
+    return once(spark, sf, "exact-attributions", build)
+
+
+@query
+def exact_attributions(spark, sf):
+    return exact(spark, sf)
+
+
+@query
+def exact_attribution_checks(spark, sf):
+    """Explained rows, and whether their exact contributions add up to MLlib's own prediction less the base."""
+    ensemble, test, _ = fitted(spark, sf)
+    sums = exact(spark, sf).groupBy("row_id").agg(F.sum("contribution").alias("s"), F.first("base_value").alias("b"))
+    scored = ensemble.transform(test.withColumn("row_id", F.concat_ws("|", "train_no", "stop_seq"))).select("row_id", "prediction")
+    off = F.abs(F.col("s") - F.col("prediction") + F.col("b")) > 1e-6
+    return sums.join(scored, "row_id").agg(F.count(F.lit(1)).alias("rows_explained"), F.count_if(off).alias("rows_off"))
+
+
+@query
+def exact_importance(spark, sf):
+    return explain.importance(exact(spark, sf))
+
+
+@query
+def table_score_checks(spark, sf):
+    """Rows scored by joins with the node table, and how many of them MLlib scores otherwise."""
+    ensemble, test, _ = fitted(spark, sf)
+    keyed = test.withColumn("row_id", F.struct("train_no", "stop_seq"))
+    by_table = trees.table_scores(trees.tree_nodes(ensemble), trees.encoded(ensemble, keyed, "row_id"), "row_id", trees.depth_of(ensemble))
+    both = by_table.join(ensemble.transform(keyed).select("row_id", F.col("prediction").alias("own")), "row_id")
+    return both.agg(F.count(F.lit(1)).alias("rows_scored"), F.count_if(F.abs(F.col("prediction") - F.col("own")) > 1e-9).alias("rows_off"))
+
+
 @query
 def model_importance(spark, sf):
     return explain.importance(attributions(spark, sf))
