@@ -100,6 +100,17 @@ def best_chunks(words: str, k: int) -> str:
         WHERE rank <= {k}"""
 
 
+def spread_hop(n: int) -> str:
+    """Every stop reached from the stops of the hop before, each pair of them met."""
+    if n % 2:
+        meets = "e.station_code = f.station_code AND e.train_no <> f.train_no AND abs(e.scheduled_hour - f.scheduled_hour) <= 2"
+    else:
+        meets = "e.train_no = f.train_no AND e.station_code <> f.station_code"
+    return f"""
+        SELECT e.train_no, e.station_code, e.scheduled_hour, max(f.delay) AS delay
+        FROM spread{n - 1} f JOIN edges e ON {meets} GROUP BY ALL"""
+
+
 EXCERPT = (
     "'[Excerpt ' || rank || '] Source: ' || source_title || ', Section ' || coalesce(section, 'N/A') "
     "|| ', Page ' || page || chr(10) || text || chr(10)"
@@ -244,7 +255,7 @@ CTES = {
                        ORDER BY abs(e.scheduled_hour - hour), e.train_no, e.scheduled_hour) AS rank
             FROM located JOIN edges e ON e.station_code = source_station AND e.train_no <> source_train
                  AND abs(e.scheduled_hour - hour) <= 2)
-        WHERE rank <= 3""",
+        WHERE rank <= 10""",
     "short2": """
         SELECT * FROM (
             SELECT source_train, source_station, e.train_no, e.station_code, e.scheduled_hour, delay_min,
@@ -253,7 +264,7 @@ CTES = {
             FROM (SELECT source_train, source_station, train_no, min(rank) AS first_rank, max(delay_min) AS delay_min
                   FROM short1 GROUP BY ALL) h
             JOIN edges e ON e.train_no = h.train_no AND e.station_code <> source_station)
-        WHERE rank <= 4""",
+        WHERE rank <= 15""",
     "seen2": """
         SELECT source_train, source_station, train_no, station_code FROM short1
         UNION SELECT source_train, source_station, train_no, station_code FROM short2""",
@@ -270,7 +281,7 @@ CTES = {
                         AND s.source_station = f.source_station AND s.train_no = e.train_no
                         AND s.station_code = e.station_code)
                   GROUP BY ALL))
-        WHERE rank <= 3""",
+        WHERE rank <= 10""",
     "seen3": """
         SELECT * FROM seen2 UNION SELECT source_train, source_station, train_no, station_code FROM short3""",
     "short4": """
@@ -284,7 +295,9 @@ CTES = {
             WHERE NOT EXISTS (SELECT 1 FROM seen3 s WHERE s.source_train = h.source_train
                   AND s.source_station = h.source_station AND s.train_no = e.train_no
                   AND s.station_code = e.station_code))
-        WHERE rank <= 4""",
+        WHERE rank <= 15""",
+    "spread0": "SELECT source_train AS train_no, source_station AS station_code, hour AS scheduled_hour, delay_min AS delay FROM located",
+    **{f"spread{n}": spread_hop(n) for n in (1, 2, 3, 4)},
     "pages_of": r"""
         SELECT source, 'Rulebook ' || source AS source_title, doc_id AS page,
                CASE WHEN doc_id % 3 = 0 THEN (doc_id % 90 + 54) || CASE WHEN doc_id % 2 = 0 THEN 'A. ' ELSE '. ' END ELSE '' END
@@ -626,6 +639,13 @@ STATEMENTS = {
         f"sum(scheduled_hour * rank)::BIGINT AS hour_sum, count(DISTINCT train_no) AS trains FROM short{hop}"
         for hop in (1, 2, 3, 4)
     ),
+    "network_spread": f"""
+        SELECT train_no, station_code, (min(hop) FILTER (here = most))::INT AS hop, round(max(most), 1) AS propagated_delay
+        FROM (SELECT *, max(here) OVER (PARTITION BY train_no, station_code) AS most
+              FROM ({" UNION ALL ".join(
+                  f"SELECT train_no, station_code, {n} AS hop, max(delay) * {fv.CASCADE_DECAY**n!r}::DOUBLE AS here FROM spread{n} GROUP BY ALL"
+                  for n in (1, 2, 3, 4))}))
+        GROUP BY ALL""",
     "cascade_json": """
         SELECT source_train, source_station, count(*)::INT AS n, arg_min(train_no, hop * 100 + rank) AS first_train,
                arg_min(propagated_delay, hop * 100 + rank) AS first_delay

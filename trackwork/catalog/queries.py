@@ -493,7 +493,7 @@ def cascade_wrapped(spark, sf):
 
 @query
 def cascade_four_hops(spark, sf):
-    out = spread(spark, sf, hops=4, caps=(3, 4))
+    out = spread(spark, sf, hops=4)
     return out.groupBy("hop").agg(
         F.count(F.lit(1)).alias("stops"),
         F.countDistinct("source_train", "source_station").alias("sources"),
@@ -503,6 +503,13 @@ def cascade_four_hops(spark, sf):
     )
 
 
+@query
+def network_spread(spark, sf):
+    """The longest delay that reaches each train and station within four hops, of all major delays together."""
+    out = cascade.network_spread(edges(spark, sf), delayed_sources(spark, sf), hops=4)
+    return out.select("train_no", "station_code", "hop", "propagated_delay")
+
+
 @query
 def cascade_json(spark, sf):
     """Affected stops per source as JSON, read back and counted."""
