@@ -140,3 +140,26 @@ def test_snapshots_with_null_keys_and_other_columns(spark):
     out = diff.snapshot_diff(old, new, ["k"])
     assert out.columns == ["k", "v", "gone", "_change_type"]
     assert {r.k: (r.gone, r._change_type) for r in out.collect()} == {None: (None, "update"), 1: (None, "update"), 2: ("z", "delete"), 3: (None, "insert")}
+
+
+def test_z_order_prunes_by_either_key(spark, scratch):
+    """Both keys' lookups skip files, and rows, nulls and hot keys included, come back as they were."""
+    i = F.col("id")
+    key = F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.xxhash64("id") % 500))
+    df = spark.range(6000).select("id", key.alias("a"), F.when(i % 50 != 7, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(400))).alias("b"))
+    back = tables.zorder_write(df, f"{scratch}/z", ["a", "b"], 16)
+    assert back.exceptAll(df).count() == 0 and back.count() == 6000
+    shares = {r.key: (r["values"], r.files, r.share) for r in tables.files_to_read(back, ["a", "b"]).collect()}
+    assert shares["a"][1] == shares["b"][1] >= 12
+    assert shares["a"][2] < 0.5 and shares["b"][2] < 0.6
+    sorted_by_one = tables.cluster_write(df, f"{scratch}/c", ["a", "b"], 16)
+    assert {r.key: r.share for r in tables.files_to_read(sorted_by_one, ["b"]).collect()}["b"] > shares["b"][2]
+
+
+def test_z_value_interleaves_ranks(spark):
+    df = spark.createDataFrame([(a, b) for a in range(4) for b in range(4)], "a int, b int")
+    placed = df.withColumn("z", tables.z_value(df, ["a", "b"], bits=2)).collect()
+    want = {(a, b): ((a >> 1) << 3) | ((b >> 1) << 2) | ((a & 1) << 1) | (b & 1) for a in range(4) for b in range(4)}
+    assert {(r.a, r.b): r.z for r in placed} == want
+    empty = df.where("false")
+    assert empty.withColumn("z", tables.z_value(empty, ["a", "b"])).count() == 0

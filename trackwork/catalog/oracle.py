@@ -749,6 +749,12 @@ STATEMENTS = {
     "partitioned_by_zone": """
         SELECT coalesce(zone, '') AS zone, count(*) AS stops, round(avg(arrival_delay_min), 3) AS avg_delay
         FROM labelled GROUP BY ALL""",
+    "zordered_files": """
+        SELECT 'train_no' AS key, count(DISTINCT train_no) AS values, 1 AS skips FROM stops
+        UNION ALL SELECT 'station_code', count(DISTINCT station_code), 1 FROM stops""",
+    "zordered_lookup": """
+        SELECT station_code, count(*) AS stops, sum(cumulative_travel_min)::BIGINT AS travel_min
+        FROM stops GROUP BY station_code""",
     "clustered_lookup": """
         SELECT station_code, count(*) AS stops, sum(cumulative_travel_min)::BIGINT AS travel_min
         FROM stops GROUP BY station_code""",

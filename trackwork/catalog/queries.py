@@ -1009,6 +1009,23 @@ def sql_views(spark, sf):
     )
 
 
+@query
+def zordered_files(spark, sf):
+    """Stops along the Z-curve of train and station: a lookup by either key reads less than half of 16 files."""
+    back = tables.zorder_write(stops(spark, sf), scratch_path(spark, "z-ordered"), ["train_no", "station_code"], 16)
+    read = tables.files_to_read(back, ["train_no", "station_code"])
+    return read.select("key", "values", (F.col("share") < 0.5).cast("int").alias("skips"))
+
+
+@query
+def zordered_lookup(spark, sf):
+    """The same table summed per station after read-back."""
+    back = tables.zorder_write(stops(spark, sf), scratch_path(spark, "z-ordered"), ["train_no", "station_code"], 16)
+    return back.groupBy("station_code").agg(
+        F.count(F.lit(1)).alias("stops"), F.sum("cumulative_travel_min").alias("travel_min")
+    )
+
+
 @query
 def clustered_lookup(spark, sf):
     """Stops sorted over the files by train and station, summed per station after read-back."""
