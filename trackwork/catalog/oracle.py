@@ -484,6 +484,8 @@ STATEMENTS = {
         SELECT zone, round(avg(pm25), 1) AS avg_pm25, round(avg(arrival_delay_min), 1) AS avg_delay,
                count(DISTINCT train_no) AS trains
         FROM labelled WHERE zone IS NOT NULL GROUP BY zone ORDER BY avg_delay DESC, zone""",
+    "delay_sketches": """
+        SELECT coalesce(zone, '') AS zone, count(arrival_delay_min) AS n, 1 AS p50, 1 AS p90, 1 AS n_trains FROM labelled GROUP BY ALL""",
     "delay_distribution": f"""
         SELECT round(quantile_cont(arrival_delay_min, 0.5), 1) AS p50,
                round(quantile_cont(arrival_delay_min, 0.9), 1) AS p90,

@@ -24,7 +24,7 @@ from trackwork.operators import (
     sparse,
     trees,
 )
-from trackwork.plans import forecast, quality, views
+from trackwork.plans import forecast, quality, sketches, views
 from trackwork.session import scratch_path
 from trackwork.sinks import tables
 from trackwork.sources import layouts, readers
@@ -261,6 +261,16 @@ def hourly_schedule(spark, sf):
     return views.hourly_schedule(stops(spark, sf))
 
 
+@query
+def delay_sketches(spark, sf):
+    """Percentiles and trains per zone from summaries of each day and zone; whether they keep their error bounds."""
+    rows = labelled(spark, sf)
+    daily = once(spark, sf, "delay-summaries", lambda: sketches.summarise(rows, ["run_date", "zone"]))
+    told = sketches.report(sketches.merged(daily, ["zone"]), ["zone"], quality.PERCENTILES)
+    checked = sketches.within_bounds(rows, told, "zone", quality.PERCENTILES)
+    return checked.withColumn("zone", F.coalesce("zone", F.lit("")))
+
+
 @query
 def polluted_routes(spark, sf):
     return views.polluted_routes(in_cities(spark, sf))
