@@ -68,15 +68,16 @@ def token_sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col
     schema = f"task int, number bigint, n_tokens int, ids binary, ids_crc32 bigint, doc_ids array<{kind(docs, id_column)}>"
 
     def cut(batches):
-        ids_of, end = tokenizer(path).ids, np.array([end_id], dtype=width)
-        task, number, size = TaskContext.get().partitionId(), 0, length * end.itemsize
+        ids_of, wide = tokenizer(path).ids, np.dtype("<u4")
+        end = np.array([end_id], dtype=wide).tobytes()
+        task, number, size = TaskContext.get().partitionId(), 0, length * wide.itemsize
         held, owners, out = bytearray(), [], ([], [], [], [], [])
-        pack = zstandard.ZstdCompressor(level=6).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
 
         def take(n):
             nonlocal number
-            own = bytes(held[:n])
-            for column, value in zip(out, (number, n // end.itemsize, pack(own), zlib.crc32(own), list(owners))):
+            own = np.frombuffer(bytes(held[:n]), dtype=wide).astype(width).tobytes()
+            for column, value in zip(out, (number, n // wide.itemsize, pack(own), zlib.crc32(own), list(owners))):
                 column.append(value)
             number += 1
             del held[:n]
@@ -95,7 +96,7 @@ def token_sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col
             for part in slices(batch):
                 for owner, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     owners.append(owner)
-                    held += np.frombuffer(ids_of(value), dtype="<u4").astype(width).tobytes() + end.tobytes()
+                    held += ids_of(value) + end
                     while len(held) >= size:
                         take(size)
                     if len(out[0]) * size > 1 << 24:
