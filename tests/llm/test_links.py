@@ -9,7 +9,7 @@ import pytest
 from cases import LONG, PLAIN, documents, empty
 from trackwork.llm import jaccard
 from trackwork.llm.components import components
-from trackwork.llm.decontaminate import SEED_WORDS, contaminated, tiles, tokens
+from trackwork.llm.decontaminate import SEED_WORDS, contaminated, tiles, tokens, weights
 from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.nearest import nearest
 from trackwork.llm.shingles import shingle_set
@@ -173,6 +173,16 @@ def test_contamination(spark):
     assert contaminated(documents(spark, rows), benchmark.where("false")).count() == 0
 
 
+def test_short_items_and_single_letters_do_not_condemn_long_texts(spark):
+    benchmark = spark.createDataFrame([(1, "Paris"), (2, "中国的首都是哪里呢"), (3, "今天天气很好我们去公园散步然后回家吃饭"), (4, "one two three four")], "item_id bigint, text string")
+    rows = [
+        (1, "We went to Paris in the spring and stayed for a week."), (2, "Paris."), (3, "他说中国的首都很大很好"), (4, "中国的首都是哪里呢？"),
+        (5, "前文在此，今天天气很好我们去公园散步然后回家吃饭。后文继续！"), (6, "今天天气很好他说"), (7, "one two three four"), (8, "it was one two three four five six seven eight"),
+    ]
+    found = {(r.doc_id, r.item_id) for r in contaminated(documents(spark, rows), benchmark).collect()}
+    assert found == {(2, 1), (4, 2), (5, 3), (7, 4)}
+
+
 def test_words_of_any_script():
     passage = "今天天气很好我们去公园散步然后回家吃饭"
     assert len(tokens(passage)) == len(passage)
@@ -180,6 +190,9 @@ def test_words_of_any_script():
     assert any(within[i : i + len(alone)] == alone for i in range(len(within)))
     assert tokens("«été» — “straße”, l’eau…").tolist() == tokens("été straße l eau").tolist()
     assert len(tokens("สวัสดีครับ")) > 4 and len(tokens("हिन्दी में")) == 2 and len(tokens("ひらがなカタ")) == 6
+    for text in (passage, "«été» — “straße”, l’eau…", "สวัสดีครับ हिन्दी में", "a_b c-d", None):
+        assert len(weights(text)) == len(tokens(text))
+    assert weights(passage).sum() == len(passage) / 2
     assert tokens("a_b c-d 12").tolist() == tokens("a b c d 12").tolist()
 
 

@@ -23,6 +23,8 @@ from trackwork.llm.tokens import slices
 
 SEED_WORDS = 5
 COVERAGE = 0.5
+#: What a letter of a script without blanks counts for, in words; and the share of a document that an item of fewer than ``SEED_WORDS`` has to be.
+LETTER, SHORT_SHARE = 0.5, 0.5
 #: Bits of the filter that tells which seeds can be in the benchmark; 2 MB for any benchmark.
 FILTER_BITS = 24
 #: Scripts written without blanks; each letter is a word: Thai to Myanmar, Khmer, kana, Chinese characters.
@@ -66,6 +68,30 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes(" ".join(WORD.findall(lower)).encode("utf-8", "replace").split())
 
 
+def weights(text: str | None) -> np.ndarray:
+    """What each word of ``tokens`` counts for."""
+    lower = (text or "").lower()
+    if lower.isascii():
+        return np.ones(len(ASCII_WORD.findall(lower.encode())))
+    found = WORD.findall(SINGLE.sub(r" \g<0> ", lower.replace("_", " ")))
+    return np.array([LETTER if SINGLE.fullmatch(w) else 1.0 for w in found])
+
+
+def covering(item: str | None, doc: str | None) -> tuple[float, list[tuple[int, int, int]]]:
+    """Share of an item that tiles of ``SEED_WORDS`` or more cover, and these tiles.
+
+    An item of less than that is covered only where it is found whole, in a document of which it is ``SHORT_SHARE`` or more.
+    """
+    own, held = tokens(item), tokens(doc)
+    worth = weights(item)
+    every = worth.sum()
+    if every < SEED_WORDS:
+        found = tiles(own, held, len(own))[:1]
+        return (1.0, found) if found and every >= SHORT_SHARE * weights(doc).sum() else (0.0, [])
+    found = [t for t in tiles(own, held, SEED_WORDS) if worth[t[0] : t[0] + t[2]].sum() >= SEED_WORDS]
+    return float(sum(worth[i : i + n].sum() for i, _, n in found) / every), found
+
+
 def _free(marked: np.ndarray, size: int) -> np.ndarray:
     """Starts of windows without a marked word."""
     upto = np.concatenate([[0], np.cumsum(marked)])
@@ -181,7 +207,9 @@ def contaminated(
 
     Returns a row per document and item: id, item_id, coverage, n_tiles, tiles (places in the item and
     in the document, in words, and lengths), text_hash. Items of equal text are reported under the
-    smallest id. Null or empty texts hold nothing and are held by nothing; a null item id is kept;
+    smallest id. A letter of a script without blanks counts for half a word. An item of fewer than five
+    words is held by documents of which it is half or more, so that an answer of one word does not
+    condemn every text with that word. Null or empty texts hold nothing and are held by nothing; a null item id is kept;
     documents with null ids are compared too; repeated rows are reported each; empty tables give none.
     """
     words = F.col(item_text).cast("string")
@@ -199,9 +227,7 @@ def contaminated(
             for part in slices(batch, 64):
                 kept, columns = [], ([], [], [])
                 for i, (own, text) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist())):
-                    item = tokens(own)
-                    found = tiles(item, tokens(text), min(SEED_WORDS, len(item)))
-                    covered = sum(n for _, _, n in found) / len(item)
+                    covered, found = covering(own, text)
                     if covered >= coverage:
                         kept.append(i)
                         for column, value in zip(columns, (covered, len(found), [dict(zip(("item_at", "doc_at", "words"), t)) for t in found])):
