@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from trackwork.llm.components import components
 from trackwork.llm.shingles import shingle_set
-from trackwork.llm.sketches import only_likely, summed
-from trackwork.llm.tables import in_batches, written
+from trackwork.llm.sketches import bits_for, only_likely, summed
+from trackwork.llm.tables import discard, in_batches, written
 from trackwork.llm.tokens import slices
 
-#: Buckets of the document counts; 1 MB whatever the input. Counts only order the shingles.
-COUNT_BITS = 18
+#: Buckets of the document counts, a byte each (255 stands for more); 4 MB whatever the input. Counts only order the shingles.
+COUNT_BITS = 22
 
 
 class Similarity(NamedTuple):
@@ -53,17 +53,22 @@ def document_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Documents per bucket of shingle hashes."""
 
     def count(batches):
-        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        total = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(value.as_py(), size) for value in part.column(0)]
-                places = np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)
-                total += np.bincount(places.astype(np.int64), minlength=len(total))
+                places, more = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+                places = places.astype(np.int64)
+                total[places] = np.minimum(total[places] + more, 255)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     texts = in_batches(docs.select(F.col(text).cast("binary")))
-    found = summed(texts.mapInArrow(count, "counts binary"), "i8")
-    return np.zeros(1 << COUNT_BITS, dtype=np.int64) if found is None else found
+    found = summed(texts.mapInArrow(count, "counts binary"), "u1", _together)
+    return np.zeros(1 << COUNT_BITS, dtype=np.uint8) if found is None else found
+
+
+def _together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.uint16) + y, 255).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
@@ -97,12 +102,12 @@ def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> Da
 
 
 def classes_in_groups(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct sets as (v, doc, n, digest, g): number, smallest id, size, digest, group; groups as (g, n, prefix, several: of more than one class); counts by v."""
+    """Distinct sets as (v, doc, text_hash, n, digest, g): number, smallest id with its text, size, digest, group; groups as (g, n, prefix, several: of more than one class); counts by v."""
     sets = found.where("n > 0 and doc is not null").groupBy("n", "digest")
-    sets = sets.agg(F.min("doc").alias("doc"), F.first("prefix").alias("prefix"), F.first("prefix_digest").alias("key"), F.first("counts").alias("counts"))
-    sets = written(sets.withColumn("v", F.monotonically_increasing_id()), "classes")
+    sets = sets.agg(F.min(F.struct("doc", "text_hash")).alias("of"), F.first("prefix").alias("prefix"), F.first("prefix_digest").alias("key"), F.first("counts").alias("counts"))
+    sets = written(sets.select("n", "digest", "of.*", "prefix", "key", "counts").withColumn("v", F.monotonically_increasing_id()), "classes")
     groups = sets.groupBy("n", "key").agg(F.min("v").alias("g"), (F.count(F.lit(1)) > 1).alias("several"))
-    members = written(sets.select("v", "doc", "n", "digest", "key").join(groups, ["n", "key"]).drop("key"), "members")
+    members = written(sets.select("v", "doc", "text_hash", "n", "digest", "key").join(groups, ["n", "key"]).drop("key"), "members")
     heads = sets.select("v", "n", "prefix").join(members.where("v = g").select("v", "several"), "v").withColumnRenamed("v", "g")
     members = members.drop("several")
     return members, heads, sets.select("v", "n", "counts")
@@ -133,7 +138,10 @@ def buckets(heads: DataFrame, like: Similarity) -> DataFrame:
     Of a bucket of two only the pair is of use, and only if it can link. Where one of the two has several
     classes, round one compares not all of them, and the bucket is ``open`` for round two as larger ones are.
     """
-    places = heads.select("g", "n", "several", F.posexplode("prefix").alias("at", "s"))
+    every = heads.select("g", "n", "several", F.posexplode("prefix").alias("at", "s"))
+    # Most places have a shingle of their own: only numbers of shingles move to tell, and those places stay where they are.
+    twice = written(every.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("s"), "shared-shingles")
+    places = only_likely(every, "s", twice, bits_for(twice.count()))
     rank = F.shiftleft(F.col("at").cast("bigint"), 40) + F.pmod(F.xxhash64("g"), F.lit(1 << 40))
     centres = places.withColumn("rank", rank).groupBy("s")
     centres = centres.agg(
@@ -152,26 +160,31 @@ def links(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_column: str,
     """Pairs (a, b) of classes whose whole sets are similar enough."""
     pairs = written(pairs, "pairs")
     needed = pairs.select("a").union(pairs.select("b")).distinct().toDF("v")
-    needed = written(members.join(needed, "v").select("v", "doc", "digest"), "needed")
+    needed = written(members.join(needed, "v").select("v", "doc", "text_hash", "digest"), "needed")
 
     def whole_sets(batches):
         for batch in batches:
             owners, sets = [], []
             for i, (value, digest) in enumerate(zip(batch.column(1), batch.column(2))):
                 own = shingle_set(value.as_py(), like.words)
-                if xxhash.xxh3_128_digest(own.tobytes()) == digest.as_py():  # ids may repeat
+                if xxhash.xxh3_128_digest(own.tobytes()) == digest.as_py():  # texts of one hash may differ
                     owners.append(i)
                     sets.append(own.view(np.int64))
             kept = batch.column(0).take(pa.array(owners, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept, pa.array(sets, pa.list_(pa.int64()))], names=["v", "own"])
 
-    texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("text"))
-    texts = only_likely(texts, "doc", needed.select("doc")).join(needed, "doc")
+    value = F.col(text).cast("string")
+    texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.xxhash64(value).alias("text_hash"), value.cast("binary").alias("text"))
+    # By id and text: an id may have many texts, a text many ids.
+    texts = only_likely(texts, "text_hash", needed.select("text_hash")).join(needed, ["doc", "text_hash"])
     sets = in_batches(texts.select("v", "text", "digest")).mapInArrow(whole_sets, "v bigint, own array<bigint>")
     sets = written(sets.dropDuplicates(["v"]), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return written(both.where(shared * (like.of + like.share) >= (F.size("x") + F.size("y")) * like.share).select("a", "b"), "links")
+    linked = written(both.where(shared * (like.of + like.share) >= (F.size("x") + F.size("y")) * like.share).select("a", "b"), "links")
+    for done in (pairs, needed, sets):
+        discard(done)
+    return linked
 
 
 def with_roots(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackwork.llm.tables import fresh
 
-BLOOM_BITS = 1 << 24
+BLOOM_BITS, MOST_BITS = 1 << 24, 1 << 26
 BLOOM_PROBES = 3
 
 
@@ -25,27 +25,32 @@ def summed(rows: DataFrame, dtype: str, combine=np.add) -> np.ndarray | None:
     return arrays.treeAggregate(zero, add, add, depth=3)[0]
 
 
-def _probes(ids: np.ndarray) -> np.ndarray:
+def bits_for(keys: int) -> int:
+    """Bits of a filter of so many keys: 16 for each, within bounds that hold for any number."""
+    return min(MOST_BITS, max(BLOOM_BITS, 1 << (16 * keys).bit_length()))
+
+
+def _probes(ids: np.ndarray, bits: int) -> np.ndarray:
     from trackwork.llm.shingles import mixed
 
     first = mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     second = mixed(first) | np.uint64(1)
-    return np.stack([(first + second * np.uint64(i)) % np.uint64(BLOOM_BITS) for i in range(BLOOM_PROBES)])
+    return np.stack([(first + second * np.uint64(i)) % np.uint64(bits) for i in range(BLOOM_PROBES)])
 
 
-def likely_in(rows: DataFrame, key: Column, wanted: DataFrame) -> Column:
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, size: int = BLOOM_BITS) -> Column:
     """Whether ``key`` (bigint, not null) may be in ``wanted``, a frame of one column.
 
-    True for every key that is there and for a few others. The filter has 2 MB for any number of keys;
-    with very many it says yes more often.
+    True for every key that is there and for a few others. The filter has ``size`` bits (2 MB, or up to 8 MB
+    by ``bits_for``) for any number of keys; with very many it says yes more often.
     """
 
     def fill(batches):
         import pyarrow as pa
 
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
+        bits = np.zeros(size, dtype=bool)
         for batch in batches:
-            bits[_probes(batch.column(0).to_numpy()).ravel()] = True
+            bits[_probes(batch.column(0).to_numpy(), size).ravel()] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["bits"])
 
@@ -59,17 +64,17 @@ def likely_in(rows: DataFrame, key: Column, wanted: DataFrame) -> Column:
     def likely(ids):
         import pandas as pd
 
-        at = _probes(ids.to_numpy())
+        at = _probes(ids.to_numpy(), size)
         bits = shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
         return pd.Series((bits & 1).all(axis=0))
 
     return likely(key)
 
 
-def only_likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+def only_likely(rows: DataFrame, column: str, wanted: DataFrame, size: int = BLOOM_BITS) -> DataFrame:
     """Rows whose key may be in ``wanted``: all of those and a few more, which a join by the caller drops."""
     known = rows.where(F.col(column).isNotNull())
-    return known.where(likely_in(rows, F.coalesce(F.col(column), F.lit(0)), wanted))
+    return known.where(likely_in(rows, F.coalesce(F.col(column), F.lit(0)), wanted, size))
 
 
 def without(docs: DataFrame, id_column: str, text: str, gone: DataFrame, single: DataFrame | None = None) -> DataFrame:
