@@ -71,8 +71,10 @@ def z_value(df: DataFrame, keys: list[str], bits: int = 6, sample: int = 20_000)
         values = sorted(some[key].dropna())
         cuts = sorted({values[len(values) * i >> bits] for i in range(1, 1 << bits)}) if values else []
         rank = _rank(F.col(key), [getattr(c, "item", lambda c=c: c)() for c in cuts])
-        for bit in range(bits):
-            total = total + F.shiftleft(F.shiftright(rank, bit).bitwiseAND(1).cast("long"), bit * len(keys) + len(keys) - 1 - k)
+        # Few ranges need few bits: they are the highest ones, as those of the other keys.
+        spare = bits - len(cuts).bit_length()
+        for bit in range(spare, bits):
+            total = total + F.shiftleft(F.shiftright(rank, bit - spare).bitwiseAND(1).cast("long"), bit * len(keys) + len(keys) - 1 - k)
     return total
 
 
