@@ -1021,8 +1021,8 @@ def sql_views(spark, sf):
 
 @query
 def zordered_files(spark, sf):
-    """Stops along the Z-curve of train and station: a lookup by either key reads less than half of 16 files."""
-    back = tables.zorder_write(stops(spark, sf), scratch_path(spark, "z-ordered"), ["train_no", "station_code"], 16)
+    """Stops along the Z-curve of train and station: a lookup by either key reads less than half of 64 files."""
+    back = tables.zorder_write(stops(spark, sf), scratch_path(spark, "z-ordered"), ["train_no", "station_code"], 64)
     read = tables.files_to_read(back, ["train_no", "station_code"])
     return read.select("key", "values", (F.col("share") < 0.5).cast("int").alias("skips"))
 
