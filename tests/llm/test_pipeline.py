@@ -20,7 +20,11 @@ COLUMNS = {
     "op6_block_matrix_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
     "op7_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op8_license_scan": "doc_id bigint, license string, template int, coverage double, first int, last int",
+    "op9_benchmark_tiling": "doc_id bigint, item_id bigint, coverage double, n_tiles int, tiles array<struct<item_at:int,doc_at:int,words:int>>, text_hash bigint",
     "op10_training_order": "slot bigint, shard int, offset bigint, n_tokens int, ids_crc32 bigint, doc_ids array<bigint>",
+    "op11_string_kernel_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op12_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op13_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
