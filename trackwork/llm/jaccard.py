@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from trackwork.llm.components import components
 from trackwork.llm.shingles import shingle_set
-from trackwork.llm.sketches import bits_for, only_likely, summed
+from trackwork.llm.sketches import only_likely, summed
 from trackwork.llm.tables import discard, in_batches, written
 from trackwork.llm.tokens import slices
 
-#: Buckets of the document counts, a byte each (255 stands for more); 4 MB whatever the input. Counts only order the shingles.
-COUNT_BITS = 22
+#: Buckets of the document counts; 1 MB whatever the input. Counts only order the shingles.
+COUNT_BITS = 18
 
 
 class Similarity(NamedTuple):
@@ -53,22 +53,17 @@ def document_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Documents per bucket of shingle hashes."""
 
     def count(batches):
-        total = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
                 sets = [shingle_set(value.as_py(), size) for value in part.column(0)]
-                places, more = np.unique(np.concatenate(sets) >> np.uint64(64 - COUNT_BITS), return_counts=True)
-                places = places.astype(np.int64)
-                total[places] = np.minimum(total[places] + more, 255)
+                places = np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)
+                total += np.bincount(places.astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     texts = in_batches(docs.select(F.col(text).cast("binary")))
-    found = summed(texts.mapInArrow(count, "counts binary"), "u1", _together)
-    return np.zeros(1 << COUNT_BITS, dtype=np.uint8) if found is None else found
-
-
-def _together(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.minimum(x.astype(np.uint16) + y, 255).astype(np.uint8)
+    found = summed(texts.mapInArrow(count, "counts binary"), "i8")
+    return np.zeros(1 << COUNT_BITS, dtype=np.int64) if found is None else found
 
 
 def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
@@ -138,10 +133,7 @@ def buckets(heads: DataFrame, like: Similarity) -> DataFrame:
     Of a bucket of two only the pair is of use, and only if it can link. Where one of the two has several
     classes, round one compares not all of them, and the bucket is ``open`` for round two as larger ones are.
     """
-    every = heads.select("g", "n", "several", F.posexplode("prefix").alias("at", "s"))
-    # Most places have a shingle of their own: only numbers of shingles move to tell, and those places stay where they are.
-    twice = written(every.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("s"), "shared-shingles")
-    places = only_likely(every, "s", twice, bits_for(twice.count()))
+    places = heads.select("g", "n", "several", F.posexplode("prefix").alias("at", "s"))
     rank = F.shiftleft(F.col("at").cast("bigint"), 40) + F.pmod(F.xxhash64("g"), F.lit(1 << 40))
     centres = places.withColumn("rank", rank).groupBy("s")
     centres = centres.agg(
@@ -176,7 +168,7 @@ def links(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_column: str,
     value = F.col(text).cast("string")
     texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.xxhash64(value).alias("text_hash"), value.cast("binary").alias("text"))
     # By id and text: an id may have many texts, a text many ids.
-    texts = only_likely(texts, "text_hash", needed.select("text_hash")).join(needed, ["doc", "text_hash"])
+    texts = only_likely(texts, "doc", needed.select("doc")).join(needed, ["doc", "text_hash"])
     sets = in_batches(texts.select("v", "text", "digest")).mapInArrow(whole_sets, "v bigint, own array<bigint>")
     sets = written(sets.dropDuplicates(["v"]), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
