@@ -3,7 +3,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import rows
+from helpers import plan, rows
 from trackwork.operators import air, diff, enrich
 from trackwork.session import scratch_path, shared_folder
 from trackwork.sinks import tables
@@ -163,3 +163,18 @@ def test_z_value_interleaves_ranks(spark):
     assert {(r.a, r.b): r.z for r in placed} == want
     empty = df.where("false")
     assert empty.withColumn("z", tables.z_value(empty, ["a", "b"])).count() == 0
+
+
+def test_few_stations_are_sent_to_the_stops(spark, monkeypatch):
+    """Whatever Spark estimates of them: the stops are not dealt by station."""
+    features, trains, stations = dimensions(spark)
+    wide = air.pivot_air(readings(spark))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = plan(enrich.enrich(features, trains, stations, wide))
+        monkeypatch.setattr(enrich, "SENT_STATIONS", 1)
+        joined = plan(enrich.enrich(features, trains, stations, wide))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sent.count("BroadcastHashJoin") == 1 and joined.count("BroadcastHashJoin") == 0
