@@ -10,6 +10,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import plan
+from trackwork.llm import prefix_trie as steps
 from trackwork.llm.prefix_trie import prefix_trie
 
 
@@ -80,3 +82,11 @@ def test_very_long_text_and_empty_table(spark):
     rows = [(1, 0, "user", long), (1, 1, "user", long), (2, 0, "user", long), (2, 1, "user", long), (2, 2, "user", "")]
     assert {tuple(r) for r in prefix_trie(table(spark, rows)).collect()} == brute(rows)
     assert prefix_trie(table(spark, [])).collect() == []
+
+
+def test_panels_are_planned_from_tables(spark):
+    """The running sums read stored panels, so that no plan holds all steps several times over."""
+    said = spark.createDataFrame([(c, t, "user", f"turn {t}") for c in range(25) for t in range(3)], "conv_id long, turn long, role string, text string")
+    turns = steps.rebuilt(steps.numbered(said, "conv_id", "turn", "role", "text"))
+    planned = plan(steps.panels(turns, 2, 2))
+    assert "FileScan" in planned and "Generate" not in planned

@@ -78,7 +78,8 @@ def numbered(messages: DataFrame, conv: str, turn: str, role: str, text: str, sh
     sizes = turns.groupBy("c", "part").agg(F.max("at").alias("n"))
     sizes = sizes.withColumn("before", F.sum("n").over(earlier)).where("before is not null").select("c", "part", "before")
     turns = turns.join(sizes, ["c", "part"], "left")
-    return turns.select("c", (F.col("at") + F.coalesce("before", F.lit(0))).alias("pos"), "a", "b", "words")
+    placed = turns.select("c", (F.col("at") + F.coalesce("before", F.lit(0))).alias("pos"), "a", "b", "words")
+    return written(placed, "numbered-turns")
 
 
 def rebuilt(turns: DataFrame) -> DataFrame:
@@ -126,6 +127,8 @@ def panels(turns: DataFrame, width: int, block: int) -> DataFrame:
     turn = F.when(d > 0, F.struct("d", i1.alias("a"), i2.alias("b"), "words"))
     own = [F.coalesce(F.bit_xor(F.when(d > 0, i)), F.lit(0)).alias(f"x{n}") for n, i in enumerate((i1, i2), 1)]
     grouped = rows.groupBy("c", "block", "panel").agg(F.array_sort(F.collect_list(turn)).alias("turns"), *own)
+    # Both running sums read it twice; as a table it is planned and kept in the driver once.
+    grouped = written(grouped, "turn-panels")
     grouped = running(grouped, {"h1": F.col("x1"), "h2": F.col("x2")}, F.bit_xor, later=False)
     grouped = running(grouped, {"rest": F.lit(1)}, F.sum, later=True)
     pair = lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"))
