@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from helpers import plan
 from trackwork.operators import lsh, sparse
 from trackwork.operators.retrieval import top_k_similar
 
@@ -70,6 +71,33 @@ def test_common_words_bring_no_candidates(spark):
     assert max(rest[w] for w in ("the", "of", "and")) < 0.05 < rest["rare7"]
 
 
+def test_few_and_many_queries_find_the_same(spark):
+    """Sent to the chunks or looked up by words, with words sent or not, ids that repeat or are null, and copies."""
+    rng = random.Random(8)
+    chunks = [(f"c{i:03d}", " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(1, 30)))) for i in range(700)]
+    queries = [(i, chunks[7 * i][1] + " unheard") for i in range(60)] + [(60, None), (61, "w1"), (61, "w2 w3"), (None, "w1")]
+    queries = spark.createDataFrame(queries, "query_id long, query_text string")
+    again = [(f"c{i:03d}", chunks[(i * 5) % 700][1]) for i in range(0, 700, 3)] + [(None, "w1 w2"), ("c001", None), ("d", chunks[4][1])]
+    for rows in (chunks, chunks + again):
+        given = spark.createDataFrame(rows, "chunk_id string, text string")
+        index = sparse.build_index(given)
+        few = {tuple(r) for r in sparse.search(queries, index, 4).collect()}
+        assert len(few) == 61 * 4
+        assert few == {tuple(r) for r in sparse.search(queries, index, 4, broadcast_queries=10).collect()}
+        for words_sent in (0, 50):
+            assert few == {tuple(r) for r in sparse.search(queries, sparse.build_index(given, sent_words=words_sent), 4).collect()}
+
+
+def test_few_queries_make_no_pairs_to_shuffle(spark):
+    """A word of many chunks costs no row per query and chunk: what is shuffled are a task's k best."""
+    chunks = spark.createDataFrame([(f"c{i}", f"often word{i}" + " other" * (i % 2)) for i in range(400)], "chunk_id string, text string").repartition(2)
+    queries = spark.createDataFrame([(i, f"often word{i}") for i in range(30)], "query_id long, query_text string")
+    found = sparse.search(queries, sparse.build_index(chunks), 2)
+    shown = plan(found)
+    assert "MapInArrow" in shown and "Generate" not in shown and "Join" not in shown
+    assert {(r.query_id, r.chunk_id) for r in found.where("rank = 1").collect()} == {(i, f"c{i}") for i in range(30)}
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(1)
