@@ -125,6 +125,26 @@ def test_recall_with_few_buckets(spark, vectors):
     assert row.recall >= 0.9
 
 
+def test_blocks_of_any_size_find_the_same(spark, vectors):
+    """Buckets that share a group, and buckets cut into parts, have the results of comparing all pairs in the buckets."""
+    asked = vectors.where("chunk_id % 20 = 3").withColumnRenamed("chunk_id", "query_id")
+    index = lsh.build_lsh(vectors, tables=3, bits=4)
+    looked = lsh.bucketed(asked.where("vector is not null"), "query_id", 3, 4, 5, lsh.SEED)
+    met = {(r.query_id, r.chunk_id) for r in looked.join(index, ["slot", "bucket"]).collect()}
+    unit = {r[0]: np.array(r[1]) / (np.linalg.norm(r[1]) or 1) for r in vectors.where("vector is not null").collect()}
+    wanted = {}
+    for q, c in met:
+        wanted.setdefault(q, []).append((-round(float((unit[q] * unit[c]).sum()), 12), c))
+    wanted = {(q, c, i) for q, own in wanted.items() for i, (_, c) in enumerate(sorted(own)[:4], 1)}
+    options = {"tables": 3, "bits": 4, "probes": 5}
+    for blocks in ({}, {"chunk_block": 30, "query_block": 4}):
+        found = lsh.approximate_top_k(asked, vectors, 4, index, **options, **blocks)
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in found.collect()} == wanted
+    groups = lsh.layout(looked, index, 30, 4)
+    hits = lsh.best_in_buckets(asked, vectors, looked, index, groups, 4)
+    assert hits.count() < 0.5 * looked.join(index, ["slot", "bucket"]).count()  # no row per pair
+
+
 def test_probes_are_checked(vectors):
     with pytest.raises(ValueError):
         lsh.approximate_top_k(vectors, vectors, probes=0)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackwork.functions.vectors import inner_product, l2_normalize
-from trackwork.operators.retrieval import NOISE_DIGITS, SCORE_DIGITS, unit_rows
+from trackwork.operators.retrieval import CHUNK_BLOCK, NOISE_DIGITS, QUERY_BLOCK, SCORE_DIGITS, best_of, trim, unit_rows
 from trackwork.operators.skew import top_per_group
 from trackwork.session import scratch_path
 from trackwork.sinks.tables import write_table
@@ -55,6 +55,62 @@ def build_lsh(chunks: DataFrame, tables: int = TABLES, bits: int = BITS, seed: i
     return write_table(index.sortWithinPartitions("slot", "bucket"), scratch_path(chunks.sparkSession, "lsh"))
 
 
+def layout(looked: DataFrame, index: DataFrame, chunk_block: int, query_block: int) -> DataFrame:
+    """(slot, bucket, _first, _chunk_parts, _query_parts): the groups of buckets that one task compares.
+
+    Neighbouring buckets of a table share a group while it stays small; a bucket too large for one is
+    cut into parts on both sides. Rows are counted per bucket, ``tables * 2**bits`` at most.
+    """
+    asked = looked.groupBy("slot", "bucket").agg(F.count(F.lit(1)).alias("q"))
+    held = index.groupBy("slot", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    both = sorted(asked.join(held, ["slot", "bucket"]).select("slot", "bucket", "q", "c").collect())
+    rows, free, open_ = [], 0, None
+    for slot, bucket, q, c in both:
+        q_parts, c_parts = -(-q // query_block), -(-c // chunk_block)
+        if open_ and q_parts * c_parts == 1 and open_[1] == slot and open_[2] + q <= query_block and open_[3] + c <= chunk_block:
+            open_ = (open_[0], slot, open_[2] + q, open_[3] + c)
+            rows.append((slot, bucket, open_[0], 1, 1))
+            continue
+        rows.append((slot, bucket, free, c_parts, q_parts))
+        open_ = (free, slot, q, c) if q_parts * c_parts == 1 else None
+        free += q_parts * c_parts
+    return looked.sparkSession.createDataFrame(rows, "slot int, bucket int, _first long, _chunk_parts int, _query_parts int")
+
+
+def best_in_buckets(queries: DataFrame, chunks: DataFrame, looked: DataFrame, index: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of what every query meets in each group of buckets, by block products."""
+    groups = F.broadcast(groups)  # a row per bucket
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    met = looked.join(groups, ["slot", "bucket"]).withColumn("_o", numbers("_chunk_parts"))
+    met = met.withColumn("_g", F.col("_first") + F.col("_o") * F.col("_query_parts") + part("query_id", "_query_parts"))
+    met = met.groupBy("query_id", "_g").agg(F.collect_set("bucket").alias("_buckets")).join(queries.select("query_id", "vector"), "query_id")
+    held = index.join(groups, ["slot", "bucket"]).withColumn("_o", numbers("_query_parts"))
+    held = held.withColumn("_g", F.col("_first") + part("chunk_id", "_chunk_parts") * F.col("_query_parts") + F.col("_o"))
+    held = held.select("chunk_id", "bucket", "_g").join(chunks.select("chunk_id", "vector"), "chunk_id")
+    kinds = {f.name: f.dataType.simpleString() for df in (queries, chunks) for f in df.schema}
+
+    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        if q.empty or c.empty:
+            return nothing
+        asked, known = unit_rows(q["vector"]), unit_rows(c["vector"])
+        query_ids, chunk_ids = q["query_id"].to_numpy(), c["chunk_id"].to_numpy()
+        owner, wanted = np.repeat(np.arange(len(q)), q["_buckets"].map(len)), np.concatenate(q["_buckets"].to_list())
+        owner, wanted = owner[np.argsort(wanted, kind="stable")], np.sort(wanted)
+        place = np.argsort(c["bucket"].to_numpy(), kind="stable")
+        buckets, starts = np.unique(c["bucket"].to_numpy()[place], return_index=True)
+        found = []
+        for bucket, own in zip(buckets, np.split(place, starts[1:])):
+            some = owner[np.searchsorted(wanted, bucket) : np.searchsorted(wanted, bucket, side="right")]
+            if len(some):
+                found.append(best_of(query_ids[some], asked[some], chunk_ids[own], known[own], k))
+        return trim(pd.concat(found, ignore_index=True), k) if found else nothing
+
+    by_group = met.select("query_id", "vector", "_buckets", "_g").groupBy("_g").cogroup(held.groupBy("_g"))
+    return by_group.applyInPandas(pair, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+
+
 def approximate_top_k(
     queries: DataFrame,
     chunks: DataFrame,
@@ -64,19 +120,25 @@ def approximate_top_k(
     bits: int = BITS,
     probes: int = PROBES,
     seed: int = SEED,
+    chunk_block: int = CHUNK_BLOCK,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Most of the k chunks with the highest cosine per query: query_id, chunk_id, score, rank.
 
     Shapes, null vectors and ties as in the exact search, scores are exact; only chunks in the buckets looked into
     are compared. ``index`` is from ``build_lsh`` with the same ``tables``, ``bits`` and ``seed``. More probes or
-    tables find more. Vectors of one dimension; a query in whose buckets nothing lies has no rows.
+    tables find more. Vectors of one dimension; a query in whose buckets nothing lies has no rows. Buckets are
+    compared in groups of at most ``chunk_block`` by ``query_block`` rows, and k hits a query leave each.
     """
     if not 1 <= probes <= 1 << bits:
         raise ValueError("a table has from 1 to 2**bits buckets to look into")
     index = build_lsh(chunks, tables, bits, seed) if index is None else index
     asked = queries.where(F.col("vector").isNotNull())
     looked = bucketed(asked, "query_id", tables, bits, probes, seed)
-    pairs = looked.join(index, ["slot", "bucket"]).select("query_id", "chunk_id").distinct()
+    groups = layout(looked, index, chunk_block, query_block)
+    hits = best_in_buckets(asked, chunks, looked, index, groups, k)
+    hits = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))  # met in several tables
+    pairs = top_per_group(hits, ["query_id"], [F.desc("score"), "chunk_id"], k).select("query_id", "chunk_id")
     unit = lambda df, key, name: df.select(key, l2_normalize(F.transform("vector", lambda x: x.cast("double"))).alias(name))
     scored = pairs.join(unit(chunks, "chunk_id", "_c"), "chunk_id").join(unit(asked, "query_id", "_q"), "query_id")
     scored = scored.select("query_id", "chunk_id", F.round(inner_product(F.col("_q"), F.col("_c")), NOISE_DIGITS).alias("score"))
