@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cases import ROWS, documents, empty
-from trackwork.llm.materialise import materialise, permuted, read_slots, shard_folder
+from trackwork.llm.materialise import KEPT_WORDS, materialise, permuted, read_slots, shard_folder
 from trackwork.llm.packing import pack, plan_sequences, ranked
 from trackwork.llm.token_counts import balanced, count_tokens
 from trackwork.llm.tokens import TextTokenizer, tokenizer, vocabulary
@@ -45,6 +45,17 @@ def test_words_are_encoded_as_the_library_does(library):
         assert own.counts([text]) == [len(expected(library, text))]
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once(library):
+    texts = [" ".join(f"w{i}" for i in range(start, start + 1000)) for start in range(0, 160_000, 1000)]
+    own, small = tokenizer(WORDS, KEPT_WORDS), tokenizer(WORDS, 500)
+    met, of = [], own.packed.of
+    own.packed.of = lambda word: met.append(word) or of(word)
+    once = [own.ids(text) for text in texts]
+    assert [own.ids(text) for text in texts] == once and len(met) == 160_000
+    assert small.ids(texts[7]) == once[7] and not small.packed
+    assert np.frombuffer(once[7], "<u4").tolist() == expected(library, texts[7])
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_are_cut_at_safe_places(name):
     own = tokenizer(vocabulary(name))

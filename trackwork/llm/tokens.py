@@ -35,10 +35,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Cache(dict):
-    """Word -> what ``of`` makes of it; filled as words are met, emptied when large."""
+    """Word -> what ``of`` makes of it; filled as words are met, emptied when it holds more than ``most``."""
 
-    def __init__(self, of):
-        self.of = of
+    def __init__(self, of, most: int):
+        self.of, self.most = of, most
 
     def __missing__(self, word):
         value = self.of(word)
@@ -47,14 +47,14 @@ class Cache(dict):
         return value
 
     def trim(self):
-        if len(self) > CACHED_WORDS:
+        if len(self) > self.most:
             self.clear()
 
 
 class WordTokenizer:
     """Ids of a tokenizer that lower-cases words and drops the white space between them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -62,8 +62,8 @@ class WordTokenizer:
         self.whole.no_padding()
         self.tokenize = self.whole.model.tokenize
         self.letters = _byte_letters()
-        self.packed = Cache(lambda word: struct.pack(f"<{len(ids := self._word(word))}I", *ids))
-        self.lengths = Cache(lambda word: len(self._word(word)))
+        self.packed = Cache(lambda word: struct.pack(f"<{len(ids := self._word(word))}I", *ids), cached_words)
+        self.lengths = Cache(lambda word: len(self._word(word)), cached_words)
 
     def _piece(self, piece: str) -> list[int]:
         if not piece.isascii():
@@ -186,11 +186,12 @@ def _cuts_before_blanks(path: str) -> bool:
     return plain and cutting[0].get("use_regex", True) and not made.get("normalizer")
 
 
-def tokenizer(path: str) -> WordTokenizer | TextTokenizer:
-    """The tokenizer of a file, opened once per Python worker."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path) if _drops_blanks(path) else TextTokenizer(path)
-    return _OPEN[path]
+def tokenizer(path: str, cached_words: int = CACHED_WORDS) -> WordTokenizer | TextTokenizer:
+    """The tokenizer of a file, opened once per Python worker; one of words keeps the ids of so many, at about 0.15 kB each."""
+    key = path, cached_words
+    if key not in _OPEN:
+        _OPEN[key] = WordTokenizer(path, cached_words) if _drops_blanks(path) else TextTokenizer(path)
+    return _OPEN[key]
 
 
 def vocabulary(name: str) -> str:
