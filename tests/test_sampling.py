@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import rows
+from helpers import plan, rows
 from trackwork.operators import features, skew
 from trackwork.operators.labels import label_delays
 from trackwork.plans import quality
@@ -60,6 +60,21 @@ def test_frequency_encode(spark):
     assert rows(seen, "train_no", "train_no_freq")[2] == ("b", 1.0)
 
 
+def test_rows_are_not_dealt_by_a_column_of_few_values(spark):
+    seen = spark.range(20_000).select(F.lit("t").alias("train_no"), (F.col("id") % 3).cast("string").alias("station_code"))
+    df = spark.createDataFrame([("t", "1"), ("u", "9")], "train_no string, station_code string").repartition(2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = features.frequency_encode(df.crossJoin(spark.range(2_000)), counts_from=seen)
+        assert plan(out).count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counts = features.value_counts(seen)
+    assert rows(features.frequency_encode(df, counts_from=counts)) == rows(features.frequency_encode(df, counts_from=seen))
+    assert rows(features.frequency_encode(df, counts_from=counts), "train_no_freq", "station_code_freq") == [(1.0, 1.0), (20000.0, 6667.0)]
+
+
 def test_index_categories(spark):
     df = spark.createDataFrame([("SR",), ("CR",), ("SR",), (None,)], "zone string")
     assert rows(features.index_categories(df)) == [("CR", 0), ("SR", 1), ("SR", 1), (None, -1)]

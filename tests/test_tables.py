@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import plan, rows
+from trackwork.catalog import queries
 from trackwork.operators import air, diff, enrich
 from trackwork.session import scratch_path, shared_folder
 from trackwork.sinks import tables
@@ -178,3 +179,37 @@ def test_few_stations_are_sent_to_the_stops(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sent.count("BroadcastHashJoin") == 1 and joined.count("BroadcastHashJoin") == 0
+
+
+def test_stops_are_not_dealt_by_city(spark):
+    """However many readings there are of few cities."""
+    features, trains, stations = dimensions(spark)
+    many = readings(spark).crossJoin(spark.range(2_000)).drop("id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = enrich.enrich(features.crossJoin(spark.range(9_000)).drop("id"), trains, stations, air.pivot_air(many))
+        assert "SortMergeJoin [_city" not in plan(out) and "hashpartitioning(_city" not in plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_labels_deal_the_stops_once(spark, monkeypatch):
+    """The window's exchange by train serves the join with trains too."""
+    _, trains, stations = dimensions(spark)
+    kinds = "train_number string, train_name string, station_code string, station_name string, day int, arrival string, departure string, run_date date"
+    stops = spark.createDataFrame([("1", "One", "A", "Delhi", 1, "None", "10:00", None), ("1", "One", "B", "Pune", 1, "11:00", "11:05", None)], kinds)
+    for name, df in {"schedules": stops, "trains": trains, "stations": stations, "air_long": readings(spark)}.items():
+        monkeypatch.setattr(queries.st, name, lambda spark, sf, df=df: df)
+    staged = {}
+    monkeypatch.setattr(queries, "_WRITTEN", {})
+    monkeypatch.setattr(queries, "stage", lambda df, name: staged.setdefault(name, df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = plan(queries.labelled(spark, "own rows"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert list(staged) == ["labels"] and "Window" in joined
+    assert joined.count("Exchange hashpartitioning(train_no") == 2  # stops and trains
+    assert rows(staged["labels"], "stop_seq", "total_stops", "train_type") == [(0, 2, "Exp"), (1, 2, "Exp")]
