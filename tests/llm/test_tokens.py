@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -56,6 +57,19 @@ def test_words_of_a_large_vocabulary_are_encoded_once(library):
     assert np.frombuffer(once[7], "<u4").tolist() == expected(library, texts[7])
 
 
+def test_a_batch_looks_up_each_word_once_and_encodes_each_piece_once(library):
+    own, met = tokenizer(WORDS, 501), []
+    tokenize, looked_up = own.tokenize, []
+    own.tokenize = lambda piece: met.append(piece) or tokenize(piece)
+    own.packed.__class__ = type("Counted", (type(own.packed),), {"__getitem__": lambda self, word: looked_up.append(word) or dict.__getitem__(self, word)})
+    texts = ["Word word, (WORD) word's word...", "word, word, Straße. straße; word", None, "", " \x0c\x0b ", "WORD word"] * 50
+    texts += ["".join(random.Random(i).choices("abAÉßé'1 9\n.,!$|<中\x0b", k=40)) for i in range(200)] + ODD + ["a b " * 150_000]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in own.ids_of_each(pa.array(texts))] == [expected(library, text) for text in texts]
+    assert len(met) == len(set(met)) and len(looked_up) == len(set(looked_up))
+    assert own.ids_of_each(pa.array(["no", "some words", None, "and"]).slice(1, 2)) == [own.ids("some words"), b""]
+    assert own.ids_of_each(pa.array([], pa.string())) == [] and own.ids_of_each(pa.array([None], pa.string())) == [b""]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_are_cut_at_safe_places(name):
     own = tokenizer(vocabulary(name))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwork.llm.tables import in_batches, kind, written
-from trackwork.llm.tokens import slices, tokenizer
+from trackwork.llm.tokens import CACHED_WORDS, slices, tokenizer
 
 #: Pieces that one task ranks; lengths with more are dealt over several tasks by hash.
 RANKED_TOGETHER = 100_000
@@ -127,18 +127,18 @@ def full_size(each: int, length: int) -> int:
     return each * length
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_column: str = "doc_id", text: str = "text", kept_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens: id, piece, start, length, ids_crc32."""
     schema = f"{id_column} {kind(docs, id_column)}, piece int, start bigint, length bigint, ids_crc32 bigint"
     names = [id_column, "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        ids_of, end = tokenizer(path).ids, np.uint32(end_id).astype("<u4").tobytes()
+        ids_of_each, end = tokenizer(path, kept_words).ids_of_each, np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 owner, columns = [], ([], [], [], [])
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = ids_of(text) + end
+                for i, ids in enumerate(ids_of_each(part.column(1))):
+                    ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
                         owner.append(i)
@@ -168,14 +168,16 @@ def ranked(pieces: DataFrame, key: str, order: list[str], together: int) -> Data
     return joined.withColumn("rank", F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
 
 
-def pack(docs: DataFrame, path: str, capacity: int, end_id: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int, end_id: int, id_column: str = "doc_id", text: str = "text", kept_words: int = CACHED_WORDS) -> DataFrame:
     """Pack whole documents, each followed by ``end_id``, into sequences of at most ``capacity`` tokens.
 
+    A worker keeps the ids of ``kept_words`` words; more cost memory and save time.
+
     Returns per piece: id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer
     than the capacity are cut. A null or empty text is one piece that holds the end id; null ids are kept;
     repeated rows are packed each; an empty table gives no rows; columns other than id and text are not read.
     """
-    pieces = written(token_pieces(docs, path, capacity, end_id, id_column, text), "pieces")
+    pieces = written(token_pieces(docs, path, capacity, end_id, id_column, text, kept_words), "pieces")
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     histogram = {row["length"]: row["n"] for row in counts}
     runs = sorted(plan_sequences(histogram, capacity))

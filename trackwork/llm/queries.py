@@ -11,7 +11,7 @@ from trackwork.llm.hard_negatives import MINE_SQL, mine
 from trackwork.llm.html_text import extract
 from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.license_scan import scan_licenses
-from trackwork.llm.materialise import materialise, shard_folder
+from trackwork.llm.materialise import KEPT_WORDS, materialise, shard_folder
 from trackwork.llm.nearest import nearest
 from trackwork.llm.packing import pack
 from trackwork.llm.prefix_trie import TRIE_SQL, prefix_trie
@@ -61,7 +61,7 @@ def op6_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4,096 tokens."""
-    return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), SEQUENCE_TOKENS, END_ID)
+    return pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), SEQUENCE_TOKENS, END_ID, kept_words=KEPT_WORDS)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,21 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+
 #: Printable ASCII and the precomposed letters of Latin-1.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Letters of plain words, and what often follows them.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Pieces of a lower-cased plain word, as the tokenizer's own pattern cuts it.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 BLANKS = str.maketrans("\t\n\r", "   ")
 CACHED_WORDS = 150_000
 LONGEST_CACHED = 64
+#: Words of a batch whose ids are put together at a time.
+JOINED_WORDS = 1 << 18
 BATCH_BYTES = 1 << 20
 #: A single blank between visible text and a letter: the next token starts with it.
 SAFE_CUT = re.compile(r"(?<=\S) (?=[^\W\d_])")
@@ -62,22 +70,31 @@ class WordTokenizer:
         self.whole.no_padding()
         self.tokenize = self.whole.model.tokenize
         self.letters = _byte_letters()
-        self.packed = Cache(lambda word: struct.pack(f"<{len(ids := self._word(word))}I", *ids), cached_words)
-        self.lengths = Cache(lambda word: len(self._word(word)), cached_words)
+        # Fewer than the words: one for "Word", "word," and "(word)".
+        self.pieces = Cache(self._piece, cached_words)
+        self.packed = Cache(self._word, cached_words)
+        self.lengths = Cache(lambda word: len(self._word(word)) // 4, cached_words)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenize(piece)]
-
-    def _word(self, word: str) -> list[int]:
-        if not word:
-            return []
+        ids = [t.id for t in self.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids as ``ids`` gives them."""
+        stem = word.rstrip(MARKS)
+        if LETTERS.fullmatch(stem):  # most words: letters, then marks
+            own = self.pieces[stem.lower()]
+            return own + self.pieces[word[len(stem) :]] if len(stem) < len(word) else own
         if "<|" in word or not PLAIN.fullmatch(word):
-            return self.whole.encode(word, add_special_tokens=False).ids
-        if len(found := PIECES.findall(word.lower())) == 1:
-            return self._piece(found[0])
-        return [i for piece in found for i in self._piece(piece)]
+            ids = self.whole.encode(word, add_special_tokens=False).ids if word else []
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
+
+    def _trim(self):
+        for cache in (self.pieces, self.packed, self.lengths):
+            cache.trim()
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -86,13 +103,33 @@ class WordTokenizer:
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         out = b"".join(map(self.packed.__getitem__, self.words(text)))
-        self.packed.trim()
+        self._trim()
         return out
 
+    def ids_of_each(self, texts: pa.Array) -> list[bytes]:
+        """``ids`` of each text; a word is looked up once, however often these texts have it."""
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        words = list(map(self.packed.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        flat, starts = np.frombuffer(b"".join(words), "<u4"), np.cumsum(sizes) - sizes
+        self._trim()
+        met, joined = coded.indices.to_numpy(), [np.empty(0, "<u4")]
+        for first in range(0, len(met), JOINED_WORDS):
+            own = met[first : first + JOINED_WORDS]
+            ends = np.cumsum(sizes[own])
+            joined.append(flat[np.repeat(starts[own] - ends + sizes[own], sizes[own]) + np.arange(ends[-1])])
+        ids = np.concatenate(joined)
+        ends = np.concatenate([[0], np.cumsum(sizes[met])])[bounds - bounds[0]]
+        return [ids[low:high].tobytes() for low, high in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
     def counts(self, texts: list[str | None]) -> list[int]:
         at = self.lengths.__getitem__
         out = [sum(map(at, self.words(text))) for text in texts]
-        self.lengths.trim()
+        self._trim()
         return out
 
 
@@ -187,7 +224,7 @@ def _cuts_before_blanks(path: str) -> bool:
 
 
 def tokenizer(path: str, cached_words: int = CACHED_WORDS) -> WordTokenizer | TextTokenizer:
-    """The tokenizer of a file, opened once per Python worker; one of words keeps the ids of so many, at about 0.15 kB each."""
+    """The tokenizer of a file, opened once per Python worker; one of words keeps the ids of so many and of as many pieces, at about 0.15 kB each."""
     key = path, cached_words
     if key not in _OPEN:
         _OPEN[key] = WordTokenizer(path, cached_words) if _drops_blanks(path) else TextTokenizer(path)
