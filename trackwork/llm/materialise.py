@@ -23,7 +23,7 @@ from trackwork.llm.tokens import slices, tokenizer
 #: A record: the number of tokens, then the ids, then zeros up to the length of a sequence.
 HEAD = np.dtype("<u4")
 ROUNDS = 6
-#: Words whose ids a worker keeps, about 90 MB; with few of them a quarter of all words is encoded again.
+#: Words whose ids a worker keeps, about 90 MB, and as many pieces of words at most; with few of them a quarter of all words is encoded again.
 KEPT_WORDS = 600_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -70,7 +70,7 @@ def token_sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col
     schema = f"task int, number bigint, n_tokens int, ids binary, ids_crc32 bigint, doc_ids array<{kind(docs, id_column)}>"
 
     def cut(batches):
-        ids_of, wide = tokenizer(path, KEPT_WORDS).ids, np.dtype("<u4")
+        ids_of_each, wide = tokenizer(path, KEPT_WORDS).ids_of_each, np.dtype("<u4")
         end = np.array([end_id], dtype=wide).tobytes()
         task, number, size = TaskContext.get().partitionId(), 0, length * wide.itemsize
         held, owners, out = bytearray(), [], ([], [], [], [], [])
@@ -96,9 +96,9 @@ def token_sequences(docs: DataFrame, path: str, length: int, end_id: int, id_col
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in slices(batch):
-                for owner, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for owner, ids in zip(part.column(0).to_pylist(), ids_of_each(part.column(1))):
                     owners.append(owner)
-                    held += ids_of(value) + end
+                    held += ids + end
                     while len(held) >= size:
                         take(size)
                     if len(out[0]) * size > 1 << 24:
