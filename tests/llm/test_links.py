@@ -1,7 +1,10 @@
 """Similarity joins, components, tiling and neighbours against brute force."""
 
 import random
+import re
+import time
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +17,7 @@ from trackwork.llm.jaccard import Similarity, jaccard_components
 from trackwork.llm.nearest import nearest
 from trackwork.llm.shingles import shingle_set
 from trackwork.llm.sketches import without
-from trackwork.llm.tables import written
+from trackwork.llm.tables import CLEANUP_SETTING, written
 
 
 def roots(vertices, edges):
@@ -112,6 +115,40 @@ def test_a_large_group_of_near_copies_takes_few_comparisons(spark):
     assert tested.count() + rest.count() < 5 * len(rows)
 
 
+def test_places_are_shuffled_once_and_prefixes_are_not_grouped(spark, monkeypatch):
+    plans, like = {}, Similarity(4, 85)
+
+    def noted(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name, *more)
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    docs = documents(spark, near_copies(3, 6, 10, 5))
+    _, heads, _ = jaccard.classes_in_groups(written(jaccard.prefixes(docs, "doc_id", "text", like), "p"))
+    shared = jaccard.buckets(heads, like)
+    assert "prefix#" not in plans["classes"] and "counts#" not in plans["classes"]
+    assert not re.search(r"hashpartitioning\(s#\d+L, \d+\), ENSURE_REQUIREMENTS", plans["buckets"])
+    own = {(r.g, s): (r.n, at, r.several) for r in heads.collect() for at, s in enumerate(r.prefix)}
+    kept = shared.collect()
+    assert kept and all(own[r.g, r.s][:2] == (r.n, r.at) for r in kept)
+    groups = {}
+    for (g, s), (_, _, several) in own.items():
+        groups.setdefault(s, []).append(several)
+    assert all(r.open == (len(groups[r.s]) > 2 or any(groups[r.s])) for r in kept)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEANUP_SETTING, None)
+    kept = written(spark.range(5000).repartition(3, "id"), "t")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 5000
+    assert spark.conf.get(CLEANUP_SETTING, None) == setting
+
+
 def test_awkward_rows_of_the_similarity_join(spark):
     rows = jaccard_components(documents(spark)).collect()
     assert len(rows) == 12

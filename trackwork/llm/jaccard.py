@@ -67,7 +67,7 @@ def document_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> DataFrame:
-    """Per document: doc, text_hash, n, digest of its set, prefix, digest of the prefix, counts (see ``may_link``)."""
+    """Per document: doc, text_hash, n, digest of its set, prefix, digest of the prefix, counts (see ``may_link``), v: a number."""
     order = docs.sparkSession.sparkContext.broadcast(document_counts(docs, text, like.words))
     names = ["doc", "text_hash", "n", "digest", "prefix", "prefix_digest", "counts"]
 
@@ -93,19 +93,21 @@ def prefixes(docs: DataFrame, id_column: str, text: str, like: Similarity) -> Da
     schema = "doc bigint, text_hash bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary, counts binary"
     value = F.col(text).cast("string")
     rows = docs.select(F.col(id_column).cast("bigint"), value.cast("binary"), F.xxhash64(value))
-    return in_batches(rows).mapInArrow(first_ones, schema)
+    return in_batches(rows).mapInArrow(first_ones, schema).withColumn("v", F.monotonically_increasing_id())
 
 
 def classes_in_groups(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct sets as (v, doc, text_hash, n, digest, g): number, smallest id with its text, size, digest, group; groups as (g, n, prefix, several: of more than one class); counts by v."""
+    """Distinct sets as (v, doc, text_hash, n, digest, g): number, smallest id with its text, size, digest, group; groups as (g, n, prefix, several: of more than one class); counts by v.
+
+    ``found`` is stored: prefixes and counts stay there, and only numbers and digests are grouped.
+    """
     sets = found.where("n > 0 and doc is not null").groupBy("n", "digest")
-    sets = sets.agg(F.min(F.struct("doc", "text_hash")).alias("of"), F.first("prefix").alias("prefix"), F.first("prefix_digest").alias("key"), F.first("counts").alias("counts"))
-    sets = written(sets.select("n", "digest", "of.*", "prefix", "key", "counts").withColumn("v", F.monotonically_increasing_id()), "classes")
+    sets = sets.agg(F.min(F.struct("doc", "text_hash")).alias("of"), F.first("prefix_digest").alias("key"), F.min("v").alias("v"))
+    sets = written(sets.select("v", "of.*", "n", "digest", "key"), "classes")
     groups = sets.groupBy("n", "key").agg(F.min("v").alias("g"), (F.count(F.lit(1)) > 1).alias("several"))
-    members = written(sets.select("v", "doc", "text_hash", "n", "digest", "key").join(groups, ["n", "key"]).drop("key"), "members")
-    heads = sets.select("v", "n", "prefix").join(members.where("v = g").select("v", "several"), "v").withColumnRenamed("v", "g")
-    members = members.drop("several")
-    return members, heads, sets.select("v", "n", "counts")
+    members = written(sets.join(groups, ["n", "key"]).drop("key"), "members")
+    heads = found.select("v", "n", "prefix").join(members.where("v = g").select("v", "several"), "v").withColumnRenamed("v", "g")
+    return members.drop("several"), heads, found.select("v", "n", "counts")
 
 
 def may_link(pairs: DataFrame, counts: DataFrame, like: Similarity) -> DataFrame:
@@ -133,7 +135,12 @@ def buckets(heads: DataFrame, like: Similarity) -> DataFrame:
     Of a bucket of two only the pair is of use, and only if it can link. Where one of the two has several
     classes, round one compares not all of them, and the bucket is ``open`` for round two as larger ones are.
     """
+    # One shuffle of three numbers serves both the centres and the join with them.
+    packed = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("at").cast("bigint"), 1) + F.col("several").cast("bigint")
     places = heads.select("g", "n", "several", F.posexplode("prefix").alias("at", "s"))
+    dealt = places.select("s", "g", packed.alias("place")).repartition("s")
+    at = F.shiftright("place", 1).bitwiseAND(F.lit((1 << 31) - 1))
+    places = dealt.select("s", "g", F.shiftright("place", 32).alias("n"), at.cast("int").alias("at"), (F.col("place") % 2 == 1).alias("several"))
     rank = F.shiftleft(F.col("at").cast("bigint"), 40) + F.pmod(F.xxhash64("g"), F.lit(1 << 40))
     centres = places.withColumn("rank", rank).groupBy("s")
     centres = centres.agg(
