@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import plan, rows
-from trackwork.operators import explain, features, model
+from trackwork.catalog import queries
+from trackwork.operators import explain, features, model, skew
 from trackwork.plans import views
 
 PARAMS = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": 1}
@@ -131,3 +132,14 @@ def test_rule_views(spark):
     assert rows(views.trains_through(city, "a")) == [(2,)]
     assert rows(views.total_trains(df)) == rows(views.total_trains(df, approx=True)) == [(2,)]
     assert rows(views.hazardous_cities(city, 50)) == [(1,)]
+
+
+def test_forecasts_come_from_a_model_of_all_training_rows(spark, stops, monkeypatch):
+    seen = []
+    train = model.train
+    monkeypatch.setattr(queries, "labelled", lambda spark, sf: stops)
+    monkeypatch.setattr(queries.st, "requests", lambda spark, sf: stops.limit(9).withColumnRenamed("stop_seq", "request_id").drop("arrival_delay_min"))
+    monkeypatch.setattr(features, "smallest_by_hash", lambda df, key, caps: skew.smallest_by_hash(df, key, [(c, 20) for c, _ in caps]))
+    monkeypatch.setattr(model, "train", lambda df, params: seen.append(df.count()) or train(df, {**PARAMS, "maxIter": 2}))
+    assert queries.QUERIES["request_forecast"](spark, "whole-forecast").count() == 9
+    assert seen == [features.hash_split(stops)[0].count()]
