@@ -261,6 +261,27 @@ def test_neighbours(spark):
     assert nearest(df.where("false"), F.col("vec_id") % 5 == 0, 4).count() == 0
 
 
+def test_neighbours_send_every_query_once(spark, monkeypatch):
+    """Blocks of queries are broadcast as they are, not a copy for every block of candidates."""
+    from pyspark.sql import functions as F
+
+    from helpers import plan
+    from trackwork.llm import nearest as module
+
+    df = spark.range(200).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: F.sin(x * (F.col("id") + 1))).alias("embedding"))
+    whole = sorted(map(tuple, nearest(df, F.col("vec_id") % 5 == 0, 3).collect()))
+    plans = []
+    written = module.written
+    monkeypatch.setattr(module, "written", lambda df, name: plans.append((name, plan(df))) or written(df, name))
+    monkeypatch.setattr(module, "BLOCK", 16)
+    for numbers, rounds in ((1 << 22, 1), (100, 3)):
+        monkeypatch.setattr(module, "SENT_NUMBERS", numbers, raising=False)
+        plans.clear()
+        assert sorted(map(tuple, nearest(df, F.col("vec_id") % 5 == 0, 3).collect())) == whole
+        near = [text for name, text in plans if name == "near"]
+        assert len(near) == rounds and all("Generate explode" not in text for text in near)
+
+
 @pytest.mark.parametrize("kind", ["doubled", "copies", "many vectors of one id"])
 def test_neighbours_of_repeated_ids(spark, kind):
     from pyspark.sql import functions as F

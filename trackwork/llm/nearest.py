@@ -9,6 +9,7 @@ computed again in double precision from the given vectors, and heaps keep the be
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from trackwork.llm.tables import kind, written
 BLOCK = 4096
 #: Queries multiplied at a time; bounds the memory of a tile.
 STRIP = 256
+#: Numbers of the query vectors that are sent to the candidates at a time; bounds what the driver holds.
+SENT_NUMBERS = 1 << 22
 #: Above the rounding errors of double-precision sums of any usual length.
 SLACK = 1e-9
 
@@ -120,24 +123,26 @@ def nearest(
     # Ids that alone hold some vector have a number; only they need queries of their own.
     alone = distinct.where("low = high").select("c", F.col("low").alias("id"))
     owners = written(alone.groupBy("id").agg(F.min("c").alias("own")), "owners")
-    offers = alone.join(owners, "id").select("c", "own")
+    # Compressed tables look smaller than they are: those with a row per vector are kept from being broadcast.
+    offers = alone.join(owners.hint("merge"), "id").select("c", "own")
     offers = distinct.select("c", "dim", "v").join(offers, "c", "left").withColumn("own", F.coalesce("own", F.lit(-1)))
-    queries = rows.where("q").select("v", "id").distinct().join(distinct.select("v", "c"), "v").join(owners, "id", "left")
+    queries = rows.where("q").select("v", "id").distinct().join(distinct.select("v", "c"), "v").join(owners.hint("merge"), "id", "left")
     queries = written(queries.select(F.col("id").alias("query_id"), "c", F.coalesce("own", F.lit(-2)).alias("own")), "queries")
     asks = queries.select("c", "own").distinct().join(distinct.select("c", "dim", "v"), "c")
 
-    def packed(frame: DataFrame) -> tuple[DataFrame, int]:
-        """(dim, block, rows) of about ``BLOCK`` vectors each, dealt by hash, and the number of blocks."""
-        blocks = max(1, -(-frame.count() // BLOCK))
-        dealt = frame.select("dim", F.pmod(F.xxhash64("c", "own"), F.lit(blocks)).alias("block"), F.struct("c", "own", "v").alias("row"))
-        return dealt.groupBy("dim", "block").agg(F.collect_list("row").alias("rows")), blocks
+    def packed(frame: DataFrame, rows: int) -> DataFrame:
+        """(dim, block, rows) of about ``BLOCK`` vectors each, dealt by hash."""
+        blocks = F.lit(max(1, -(-rows // BLOCK)))
+        dealt = frame.select("dim", F.pmod(F.xxhash64("c", "own"), blocks).alias("block"), F.struct("c", "own", "v").alias("row"))
+        return dealt.groupBy("dim", "block").agg(F.collect_list("row").alias("rows"))
 
-    asked, askings = packed(asks)
-    offered, offerings = packed(offers)
-    # A tile gets a copy of its two blocks, so that tiles are dealt evenly.
-    asked = asked.toDF("dim", "asking", "queries").withColumn("offering", F.explode(F.sequence(F.lit(0), F.lit(offerings - 1))))
-    offered = offered.toDF("dim", "offering", "candidates").withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(askings - 1))))
-    tiles = offered.join(asked, ["dim", "asking", "offering"])
+    asking = asks.agg(F.count(F.lit(1)).alias("rows"), F.sum("dim").alias("numbers")).first()
+    asked = packed(asks, asking["rows"]).toDF("dim", "asking", "queries")
+    offered = packed(offers, offers.count()).toDF("dim", "offering", "candidates")
+    # Blocks of candidates stay where they are; the queries come by, so many at a time that they can be sent.
+    rounds = max(1, -(-(asking["numbers"] or 0) // SENT_NUMBERS))
+    if rounds > 1:
+        asked, offered = written(asked, "asked"), written(offered, "offered")
 
     def search(batches):
         for batch in batches:
@@ -152,11 +157,17 @@ def nearest(
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["qc", "own", "c", "score"])
 
-    pairs = tiles.select("queries", "candidates").mapInArrow(search, "qc bigint, own bigint, c bigint, score double")
     ranked = Window.partitionBy("qc", "own").orderBy(F.col("score").desc())
-    # rank() keeps every vector tied with the last place: ids decide among those.
-    pairs = written(pairs.withColumn("place", F.rank().over(ranked)).where(F.col("place") <= k).drop("place"), "near")
-    options = pairs.join(holders, "c").select("qc", "own", "score", "id", "copies")
+
+    def best(turn: int) -> DataFrame:
+        sent = asked.where(F.pmod("asking", F.lit(rounds)) == turn) if rounds > 1 else asked
+        tiles = offered.join(F.broadcast(sent), "dim").select("queries", "candidates")
+        pairs = tiles.mapInArrow(search, "qc bigint, own bigint, c bigint, score double")
+        # rank() keeps every vector tied with the last place: ids decide among those.
+        return written(pairs.withColumn("place", F.rank().over(ranked)).where(F.col("place") <= k).drop("place"), "near")
+
+    pairs = reduce(DataFrame.unionByName, (best(turn) for turn in range(rounds)))
+    options = pairs.join(holders.hint("merge"), "c").select("qc", "own", "score", "id", "copies")
     # k of each id, then 2 k of all: whichever id asks, k of others are among them.
     by_id = Window.partitionBy("qc", "own", "id").orderBy(F.col("score").desc())
     options = options.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= k)
